@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidelog.llm import language_id, packing, sharding, token_counts, url_filter
+from tidelog.llm import decontamination, language_id, minhash_dedup, packing, sharding, token_counts, url_filter
 from tidelog.llm.common import table
 
 QUERIES = {
+    "op1_minhash_dedup": lambda s, d: minhash_dedup.deduplicate(table(s, d, "documents")),
     "op3_packing": lambda s, d: packing.pack(table(s, d, "documents")),
     "op5_url_filter": lambda s, d: url_filter.judge(table(s, d, "pages")),
     "op6_sharding": lambda s, d: sharding.digest(table(s, d, "documents")),
     "op7_language_id": lambda s, d: language_id.identify(table(s, d, "documents")),
+    "op8_decontamination": lambda s, d: decontamination.contaminated(table(s, d, "documents"), table(s, d, "benchmark")),
     "op9_token_counts": lambda s, d: token_counts.token_counts(table(s, d, "documents")),
 }
 
