@@ -26,7 +26,6 @@ ORACLES = {
         t AS (SELECT *, n >= {warc.MIN_REVISIT} AND page_id <> first AS again FROM f)
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
         CASE WHEN again THEN first END AS refers_to FROM t""",
-    "op4_warc": lambda s, d: warc.archive(table(s, d, "pages")),
     "op10_embedding_dedup": """WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
         u AS (SELECT * FROM e WHERE list_dot_product(v, v) > 0),
         l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
