@@ -232,3 +232,16 @@ def deduplicate(docs: DataFrame, percent: int = 85, width: int = 5, registers: i
     joined = base.select("doc_id", "n_shingles", "digest").join(ends, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 85, width: int = 5, registers: int = REGISTERS) -> DataFrame:
+    """Rows of ``docs`` with one document of each group of near-duplicates; columns stay.
+
+    The document of the least id stays. Rows that share an id are one document,
+    of which one row stays; rows without an id all stay.
+    """
+    found = deduplicate(docs, percent, width, registers).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+    odd = keep(found.where("NOT _kept OR _rows > 1"))
+    single = docs.join(odd, F.col("doc_id") == F.col("_id"), "left_anti")
+    several = docs.join(odd.where("_kept"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(several)
