@@ -1,4 +1,49 @@
+"""From raw documents to packed sequences: language, near-duplicates, benchmarks, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.llm import decontamination, language_id, minhash_dedup, packing
+from tidelog.llm.common import keep, table
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language can be told; those without a letter go."""
+    taught = docs.where(~F.coalesce(language_id.held_out(), F.lit(False)))
+    return language_id.accepted(docs, language_id.learn(taught))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group."""
+    return minhash_dedup.one_of_each(docs)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents left, with their sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("minhash_dedup", without_near_duplicates),
+    ("decontamination", without_benchmarks),
+    ("packing", packed),
+]
+
+#: Tokenizing, fingerprints and learned profiles are beyond SQL; a test holds the stages to brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each result but the last is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
