@@ -51,6 +51,7 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     after = ~IS_SPACE & (np.arange(256) != ord("<")) & ~np.isin(np.arange(256), (0xC2, 0xE1, 0xE2, 0xE3))
     if len(data) > 1:
         cut[:-2] = (data[:-1] == 0x20) & after[data[1:]]
+    cut[np.maximum(offsets - 1, 0)] = False  # a text's last character has nothing after it
     cut[offsets] = True
     cut[-1] = False
     return np.flatnonzero(cut)
