@@ -113,8 +113,8 @@ def test_sketches_merge_and_estimate():
     shared = np.concatenate([a[:2700], b[:300]])
     s = minhash_dedup.sketch(np.concatenate([a, shared]), np.array([0, 3000, 6000]))
     n = np.array([3000.0])
-    assert minhash_dedup.possible(s[:1], s[1:], n, n, 0.8)[0]
-    assert not minhash_dedup.possible(one[:1], one[1:2], n, n, 0.8)[0]
+    assert minhash_dedup.odds(s[:1], s[1:], n, n, 0.8)[0] > 0.7
+    assert minhash_dedup.odds(one[:1], one[1:2], n, n, 0.8)[0] == -np.inf
 
 
 def test_ngram_lm(docs, corpus, empty):

@@ -15,7 +15,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +29,10 @@ BASE = 1.1
 LARGEST = 20.0
 #: Log-likelihood by which the threshold may fall short of the best estimate.
 SLACK = 20.0
-#: Buckets up to this many members are compared as one block.
-BLOCK = 256
+#: Sets of a family that are compared as one block.
+BLOCK = 64
+#: Ids that may be sent to every task (under 64 MB there); beyond, texts are shuffled to them.
+SENT_IDS = 1_000_000
 
 
 def sketch(values: np.ndarray, before: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -104,8 +105,8 @@ def likelihood(up: np.ndarray, down: np.ndarray, equal: np.ndarray, u: np.ndarra
     return up * np.log(a + tiny) + down * np.log(b + tiny) + equal * np.log(np.maximum(1 - a - b, tiny))
 
 
-def possible(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether pairs of sketches may reach the threshold: by size, then by the ratio of likelihoods."""
+def odds(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, threshold: float) -> np.ndarray:
+    """Most likely similarity of pairs of sketches; minus infinity where size or likelihood ratio excludes the threshold."""
     up, down = (left > right).sum(axis=1), (left < right).sum(axis=1)
     equal = left.shape[1] - up - down
     u = n_left / (n_left + n_right)
@@ -113,7 +114,7 @@ def possible(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: n
     at = likelihood(up, down, equal, u, 1 - u, threshold)
     best = np.argmax(grid, axis=0) / 40
     sized = np.minimum(n_left, n_right) >= (threshold - 1e-9) * np.maximum(n_left, n_right)
-    return sized & ((best >= threshold) | (np.max(grid, axis=0) - at <= SLACK))
+    return np.where(sized & ((best >= threshold) | (np.max(grid, axis=0) - at <= SLACK)), best, -np.inf)
 
 
 def sketched(docs: DataFrame, width: int = 5, registers: int = REGISTERS) -> DataFrame:
@@ -132,102 +133,111 @@ def sketched(docs: DataFrame, width: int = 5, registers: int = REGISTERS) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, sketch binary")
 
 
-def plausible(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(a, b)`` whose sketches in ``sets(rep, n, sketch)`` leave the threshold possible."""
-
-    @F.pandas_udf("boolean")
-    def test(sa: pd.Series, sb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        if not len(sa):
-            return pd.Series([], dtype=bool)
-        left, right = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (sa, sb))
-        return pd.Series(possible(left, right, na.to_numpy(float), nb.to_numpy(float), threshold))
-
-    a = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").where(test("sa", "sb", "na", "nb")).select("a", "b")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int = 5) -> DataFrame:
-    """Pairs whose full shingle sets satisfy ``100 * intersection >= percent * union``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in chunks(batches, "ta"):
-            va, ba = distinct_per_text(*shingles(*words(data, offsets), width))
-            for part, data_b, off_b in chunks([rows], "tb", 1 << 40):
-                vb, bb = distinct_per_text(*shingles(*words(data_b, off_b), width))
-                na, nb = np.diff(ba), np.diff(bb)
-                owner = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
-                value = np.concatenate([va, vb])
-                order = np.lexsort((value, owner))
-                value, owner = value[order], owner[order]
-                both = np.bincount(owner[1:][(value[1:] == value[:-1]) & (owner[1:] == owner[:-1])], minlength=len(na))
-                good = pa.array((both > 0) & (100 * both >= percent * (na + nb - both)))
-                yield part.select(["a", "b"]).filter(good)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    text = keep(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    a, b = (text.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def _buckets(sets: DataFrame, registers: int) -> DataFrame:
-    """``(bucket, rep)`` of all bands' buckets with two members at least."""
+def families(sets: DataFrame, registers: int = REGISTERS) -> DataFrame:
+    """``(rep, family)`` of all sets that share a band with another: sets of one bucket, and what they share buckets with, are one family."""
     spots = F.sequence(F.lit(0), F.lit(registers // BAND - 1))
     keys = F.transform(spots, lambda i: F.xxhash64(i, F.substr(F.col("sketch"), i * BAND + 1, F.lit(BAND))))
     rows = sets.select("rep", F.explode(keys).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return rows.join(shared, "bucket")
-
-
-def _hub_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of each bucket's members with its hub: the one that shares most buckets, hence an original sooner than its edits."""
-    weight = members.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("w"))
-    ranked = members.select("bucket", "rep").join(weight, "rep")
-    hub = ranked.groupBy("bucket").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("hub"))
-    pairs = members.select("bucket", "rep").join(hub, "bucket").where("rep <> hub")
-    return pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-
-
-def _rest_pairs(members: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members that are not yet in one component.
-
-    Buckets of one component are done. Of the others, members are dealt into
-    blocks and only pairs of blocks meet, so that no task holds a large bucket.
+    shared = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("bucket", "hub")
+    pairs = rows.join(shared, "bucket").where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    return components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+
+
+def _dealt(family: DataFrame) -> DataFrame:
+    """``(cell, side, family, rep)``: families of a block or less lie several in a cell; blocks of larger ones meet pairwise, one pair a cell."""
+    size = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    sized = family.join(size, "family")
+    cells = F.greatest(F.lit(1), F.ceil(F.lit(size.where(F.col("size") <= BLOCK).agg(F.sum("size")).first()[0] or 1) / (2 * BLOCK)))
+    small = sized.where(F.col("size") <= BLOCK).select(F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("family"), cells)).alias("cell"), F.lit(0).alias("side"), "family", "rep")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    large = sized.where(F.col("size") > BLOCK).withColumn("m", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    meet = large.select(F.concat_ws(":", F.lit("l"), "family", F.least("m", "o"), F.greatest("m", "o")).alias("cell"), (F.col("m") > F.col("o")).cast("int").alias("side"), "family", "rep")
+    return small.unionByName(meet)
+
+
+def _candidates(made: np.ndarray, family: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one cell that share a family and a band; of two blocks, only pairs across them."""
+    keys = np.ascontiguousarray(made).view(np.uint64)
+    near = np.zeros((len(made), len(made)), bool)
+    for band in range(keys.shape[1]):
+        key = mix(keys[:, band] ^ mix(family.astype(np.uint64)))
+        order = np.argsort(key)
+        at = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+            if y - x > 1:
+                near[np.ix_(order[x:y], order[x:y])] = True
+    if side.any():
+        near &= side[:, None] != side[None, :]
+    return np.nonzero(np.triu(near, 1))
+
+
+def linked(docs: DataFrame, sets: DataFrame, family: DataFrame, percent: int, width: int = 5) -> DataFrame:
+    """Links ``(a, b)`` that join what full shingle sets with ``100 * intersection >= percent * union`` join, as a forest of each cell.
+
+    Pairs of a cell that share a band are tried in order of likelihood, those
+    already joined in the cell aren't tried again: what a task gives back is
+    linear in its rows, and no link between parts is lost.
     """
-    placed = members.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi AND c > 2").select("bucket")
-    left = placed.join(open_, "bucket").withColumn("g", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("m", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    others = left.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = others.select("bucket", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), "m", "rep", "component")
-    one, two = dealt.alias("p"), dealt.alias("q")
-    on = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.x") == F.col("q.x")) & (F.col("p.y") == F.col("q.y")) & (F.col("p.component") != F.col("q.component")) & (F.col("p.rep") < F.col("q.rep"))
-    return one.join(two, on).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
+    threshold = percent / 100
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("rep", "ascending")])
+        rep, family_, side = (table.column(c).to_numpy() for c in ("rep", "family", "side"))
+        made = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+        n = table.column("n").to_numpy().astype(float)
+        a, b = _candidates(made, family_, side)
+        score = np.concatenate([odds(made[a[i : i + 4096]], made[b[i : i + 4096]], n[a[i : i + 4096]], n[b[i : i + 4096]], threshold) for i in range(0, len(a), 4096)] or [np.zeros(0)])
+        links = []
+        if (score > -np.inf).any():
+            full = [v for _, data, offsets in chunks(table.select(["text"]).to_batches()) for v in _sets(data, offsets, width)]
+            parent = list(range(len(rep)))
+
+            def find(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for i in np.argsort(-score, kind="stable").tolist():
+                if score[i] == -np.inf:
+                    break
+                x, y = int(a[i]), int(b[i])
+                p, q = find(x), find(y)
+                if p != q:
+                    both = len(np.intersect1d(full[x], full[y], assume_unique=True))
+                    if both and 100 * both >= percent * (len(full[x]) + len(full[y]) - both):
+                        parent[max(p, q)] = min(p, q)
+                        links.append((int(rep[x]), int(rep[y])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    wanted = family.select(F.col("rep").alias("doc_id"))
+    # The few ids are sent to the texts if they are few; else the texts go to the ids.
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
+    text = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    parts = _dealt(family).join(sets.select("rep", "n", "sketch"), "rep").join(text, F.col("rep") == F.col("doc_id")).select("cell", "side", "family", "rep", "n", "sketch", "text")
+    return parts.groupBy("cell").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
+    values, before = distinct_per_text(*shingles(*words(data, offsets), width))
+    return np.split(values, before[1:-1])
 
 
 def deduplicate(docs: DataFrame, percent: int = 85, width: int = 5, registers: int = REGISTERS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id, text)``.
 
-    Copies with equal sets are one class, linked through its least id. A class
-    is compared with the hub of each bucket it is in; then members of a bucket
-    that are still apart are compared with each other, so no link found by the
-    bands is left out and groups aren't expanded into all pairs. Null and empty
+    Copies with equal sets are one class, linked through its least id. Classes
+    that share buckets form families; a family is compared in blocks, each
+    giving back a spanning forest, so no link found by the bands is left out
+    and groups aren't expanded into rows of pairs. Null and empty
     texts are linked with nothing; so are rows without an id, whose component
     is null and which are not kept. Repeated ids share a component. An empty
     table gives an empty one.
     """
     base = keep(sketched(docs, width, registers))
     sets = keep(base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    members = keep(_buckets(sets, registers))
-    threshold = percent / 100
-    first = keep(_hub_pairs(members))
-    links = keep(verified(keep(plausible(first, sets, threshold)), docs, percent, width))
-    found = components(links)
-    more = _rest_pairs(members, found).join(first, ["a", "b"], "left_anti")
-    second = keep(plausible(more, sets, threshold))
-    if not second.isEmpty():
-        links = links.unionByName(keep(verified(second, docs, percent, width)))
-        found = components(links)
+    family = keep(families(sets, registers))
+    found = components(linked(docs, sets, family, percent, width))
     ends = sets.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     joined = base.select("doc_id", "n_shingles", "digest").join(ends, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
