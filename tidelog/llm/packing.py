@@ -6,6 +6,7 @@ increases the sum of squared counts of partially filled windows, which a level
 array keeps. Windows left open at the end of a task are items of a next round,
 on fewer tasks, so what stays partly filled does not grow with the tasks.
 A window whose fill is a power of two needs no padding and counts as whole.
+What no item fills in the end is cut anew to fit.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import IS_SPACE, chunks, hash_segments, keep
@@ -24,6 +25,8 @@ from tidelog.llm.common import IS_SPACE, chunks, hash_segments, keep
 WINDOW = 2048
 END_ID = 1
 CACHE_UNITS = 300_000
+#: Pieces of open windows that may be sent to every task; beyond, texts are shuffled to them.
+SENT_PIECES = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -181,7 +184,8 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_50k.
     One row a piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset``. An empty or null text is its end id alone; repeated
     rows are packed each; an empty table gives an empty one. ``rounds`` more
-    passes join windows that stayed partly filled.
+    passes join windows that stayed partly filled, and the last ones are cut
+    anew, so that only documents there have a second cut.
     """
     cut = keep(pieces(docs, window, vocabulary).withColumn("item", F.monotonically_increasing_id()))
     rest = cut.where(F.col("length") < window).select("item", "length")
@@ -196,8 +200,69 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_50k.
         again = pack_items(open_, max(1, -(-left // items_per_task)), window, i + 1).select(F.col("item").alias("bin"), F.col("bin").alias("_to"), F.col("offset").alias("_by"))
         moved = placed.join(again, "bin", "left")
         placed = keep(moved.select("item", "length", F.coalesce("_to", "bin").alias("bin"), (F.col("offset") + F.coalesce("_by", F.lit(0))).alias("offset")))
-    spot = placed.select("item", "bin", "offset")
-    joined = cut.join(spot, "item", "left")
+    fill = placed.groupBy("bin").agg(F.sum("length").cast("bigint").alias("length"))
+    open_ = keep(fill.where((F.col("length") < window) & (F.bit_count("length") > 1)).select("bin"))
+    closed = keep(_closed(docs, cut, placed, open_, window, vocabulary))
+    spot = placed.join(open_.withColumn("open", F.lit(True)), "bin", "left").select("item", "bin", "offset", "open")
+    joined = cut.join(spot, "item", "left").where("open IS NULL")
     full = F.col("bin").isNull()
     sequence = F.when(full, F.col("item") * 2).otherwise(F.col("bin") * 2 + 1)
-    return joined.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), F.when(full, F.lit(0)).otherwise(F.col("offset")).cast("bigint").alias("offset"))
+    columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    whole = joined.withColumn("sequence_id", sequence).withColumn("offset", F.when(full, F.lit(0)).otherwise(F.col("offset")).cast("bigint"))
+    return whole.select(*columns).unionByName(closed.select(*columns))
+
+
+def _spans(begin: int, end: int, total: int, window: int) -> Iterator[tuple[int, int, int, int]]:
+    """(begin, end, window number, offset in it) of a piece of a stream of ``total`` ids cut into full windows and then powers of two."""
+    full = total // window * window
+    while begin < end:
+        if begin < full:
+            number, first = begin // window, begin // window * window
+            last = first + window
+        else:
+            number, first, left = full // window, full, total - full
+            size = 1 << left.bit_length() - 1
+            while begin >= first + size:
+                first, left, number = first + size, left - size, number + 1
+                size = 1 << left.bit_length() - 1
+            last = first + size
+        to = min(end, last)
+        yield begin, to, number, begin - first
+        begin = to
+
+
+def _closed(docs: DataFrame, cut: DataFrame, placed: DataFrame, open_: DataFrame, window: int, vocabulary: str) -> DataFrame:
+    """Pieces of windows that no item has filled, cut again so that nothing is padded.
+
+    Such windows are few beside the corpus. In groups of some 4,000 their pieces
+    are a stream, cut into full windows and what remains into powers of two.
+    Their documents are tokenized again for the new pieces' checksums; a row is
+    known by the checksum of the old piece.
+    """
+    n = open_.count()
+    groups = max(1, -(-n // 4096))
+    here = placed.join(open_, "bin", "left_semi").join(cut.select("item", "doc_id", "start", "ids_crc32", "doc_tokens"), "item").withColumn("g", F.pmod(F.xxhash64("bin"), F.lit(groups)))
+    run = Window.partitionBy("g").orderBy("bin", "offset")
+    stream = keep(here.withColumn("end", F.sum("length").over(run)).withColumn("total", F.sum("length").over(Window.partitionBy("g"))))
+    ends = F.broadcast(stream) if stream.count() <= SENT_PIECES else stream
+    names = ["item", "g", "start", "length", "ids_crc32", "doc_tokens", "end", "total"]
+    found = docs.select(F.col("doc_id").alias("_id"), "text").join(ends, F.col("_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text", *names)
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(vocabulary)
+        end_id = np.array([END_ID], np.uint32)
+        for rows, data, offsets in chunks(batches):
+            ids, before = encoder.encode(data, offsets)
+            out = []
+            for i, (item, g, start, length, crc, tokens, end, total) in enumerate(zip(*(rows.column(c).to_pylist() for c in names))):
+                own = np.concatenate([ids[before[i] : before[i + 1]], end_id]).astype("<u4")
+                if len(own) == tokens and zlib.crc32(own[start : start + length].tobytes()) == crc:
+                    for a, b, number, offset in _spans(end - length, end, total, window):
+                        s = start + a - (end - length)
+                        out.append((i, item, s, b - a, zlib.crc32(own[s : s + b - a].tobytes()), tokens, -1 - ((g << 36) + number), offset))
+            cols = list(zip(*out)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "item", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = found.mapInArrow(run_, f"doc_id {kind}, item bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return made.dropDuplicates(["item", "start"])
