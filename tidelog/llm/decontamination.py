@@ -238,8 +238,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     Words are lower-cased, without ASCII punctuation, so that marks around a
     passage hide nothing. The benchmark goes to every task; it has a stated
-    bound of ``max_items``, over which this raises. Null and empty texts and items match nothing; an item of fewer than
-    five words must occur whole. Repeated rows give repeated results.
+    bound of ``max_items``, over which this raises. Null and empty texts and
+    items match nothing; an item of fewer than five words must occur whole.
+    Repeated rows give repeated results.
     """
     rows = benchmark.select("item_id", "text").limit(max_items + 1).collect()
     if len(rows) > max_items:

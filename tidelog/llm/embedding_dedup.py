@@ -141,8 +141,9 @@ def linked(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     the threshold or more in double precision. Equal unit vectors are one class
     and count as often as they occur. Null or zero vectors, vectors with null or
     non-finite components and rows without a label are linked with nothing; a
-    row without an id has a null component and isn't kept. Repeated ids are
-    rows of their own. Tasks compare two strips of a label and give back counts
+    row without an id has a null component and isn't kept. Rows that
+    share an id and a label share the larger of their counts and the least
+    component. Tasks compare two strips of a label and give back counts
     and a spanning forest, so a group of any size gives linear results.
     """
     rows = keep(prepared(vectors))
