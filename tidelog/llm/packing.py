@@ -24,7 +24,9 @@ from tidelog.llm.common import IS_SPACE, chunks, hash_segments, keep
 
 WINDOW = 2048
 END_ID = 1
-CACHE_UNITS = 300_000
+CACHE_UNITS = 200_000
+#: Units over this many bytes aren't remembered.
+LONG_UNIT = 64
 #: Pieces of open windows that may be sent to every task; beyond, texts are shuffled to them.
 SENT_PIECES = 200_000
 
@@ -61,15 +63,26 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Token ids of many texts: each distinct unit of a chunk is encoded once, and recent units are remembered."""
+    """Token ids of many texts: each distinct unit of a chunk is encoded once.
+
+    Units are remembered in two generations of bounded size: a full one becomes
+    the old one, and what is met again moves to the new.
+    """
 
     def __init__(self, name: str = "byte_bpe_50k.json"):
         self._encode = tokenizer(name).encode
-        self._clear()
-
-    def _clear(self) -> None:
-        self._known: dict[bytes, int] = {}
-        self._ids: list[np.ndarray] = []
+        self._new: dict[bytes, np.ndarray] = {}
+        self._old: dict[bytes, np.ndarray] = {}
+
+    def _ids(self, piece: bytes) -> np.ndarray:
+        got = self._new.get(piece)
+        if got is None:
+            got = self._old.get(piece)
+            if got is None:
+                got = np.array(self._encode(piece.decode("utf-8", "replace"), allowed_special="all"), np.uint32)
+            if len(piece) <= LONG_UNIT:
+                self._new[piece] = got
+        return got
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids before each text)."""
@@ -78,16 +91,10 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         _, first, unit = np.unique(hash_segments(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self._known) > CACHE_UNITS:
-            self._clear()
-        raw, known, out = data.tobytes(), self._known, []
-        for s, e in zip(starts[first].tolist(), ends[first].tolist()):
-            piece = raw[s:e]
-            at = known.get(piece)
-            if at is None:
-                at = known[piece] = len(self._ids)
-                self._ids.append(np.array(self._encode(piece.decode("utf-8", "replace"), allowed_special="all"), np.uint32))
-            out.append(self._ids[at])
+        if len(self._new) > CACHE_UNITS:
+            self._old, self._new = self._new, {}
+        raw = data.tobytes()
+        out = [self._ids(raw[s:e]) for s, e in zip(starts[first].tolist(), ends[first].tolist())]
         size = np.array([len(x) for x in out], np.int64)
         pool, begin = np.concatenate(out), np.cumsum(size) - size
         n = size[unit]
@@ -96,11 +103,17 @@ class Encoder:
         return ids, np.concatenate([[0], end])[np.searchsorted(starts, offsets)]
 
 
+@lru_cache(maxsize=2)
+def encoder_of(name: str) -> Encoder:
+    """A worker's encoder, which its tasks share."""
+    return Encoder(name)
+
+
 def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """Every document's ids plus the end id, cut into full windows and a remainder: one row a piece, ids as checksums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         for rows, data, offsets in chunks(batches):
             ids, before = encoder.encode(data, offsets)
             doc, start, length, crc, total = [], [], [], [], []
@@ -249,7 +262,7 @@ def _closed(docs: DataFrame, cut: DataFrame, placed: DataFrame, open_: DataFrame
     found = docs.select(F.col("doc_id").alias("_id"), "text").join(ends, F.col("_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text", *names)
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         end_id = np.array([END_ID], np.uint32)
         for rows, data, offsets in chunks(batches):
             ids, before = encoder.encode(data, offsets)
