@@ -203,14 +203,11 @@ def _numbered(model: Model, data, offsets):
     return number[inverse], count[inverse], before
 
 
-def _unique_pairs(context: np.ndarray, value: np.ndarray):
-    """(indexes that stand for each distinct pair in order, and the way back)."""
-    order = np.lexsort((value, context))
-    c, v = context[order], value[order]
-    new = np.concatenate([[True], (c[1:] != c[:-1]) | (v[1:] != v[:-1])]) if len(c) else np.zeros(0, bool)
-    back = np.empty(len(order), np.int64)
-    back[order] = np.cumsum(new) - 1
-    return order[new], back
+def _unique_pairs(context: np.ndarray, value: np.ndarray, width: int):
+    """(indexes that stand for each distinct pair in order, and the way back); values have at most ``width`` bits."""
+    pair = context.astype(np.uint64) << np.uint64(width) | value.astype(np.uint64)
+    _, first, back = np.unique(pair, return_index=True, return_inverse=True)
+    return first, back
 
 
 def _bigrams_of(model: Model, left: np.ndarray, number: np.ndarray):
@@ -220,7 +217,7 @@ def _bigrams_of(model: Model, left: np.ndarray, number: np.ndarray):
     some = np.flatnonzero(left >= 0)
     # An unknown word under a known context has a number that no level holds.
     value = np.where(number[some] >= 0, number[some], (1 << 32) - 2)
-    first, back = _unique_pairs(left[some], value)
+    first, back = _unique_pairs(left[some], value, 32)
     got = model.bigram(left[some][first], value[first])
     for out, x in zip((node, relative, share, rest), got):
         out[some] = x[back]
@@ -414,7 +411,7 @@ def _with_trigrams(model: Model, node: np.ndarray, relative: np.ndarray, before:
     some = np.flatnonzero(context >= 0)
     # A token that doesn't follow its left neighbour in the model can't follow both.
     value = np.where(node[some] >= 0, relative[some], (1 << _REL) - 1)
-    first, back = _unique_pairs(context[some], value)
+    first, back = _unique_pairs(context[some], value, _REL)
     _, _, share, rest = model.trigram(context[some][first], value[first])
     out = p.copy()
     out[some] = share[back] + rest[back] * p[some]
