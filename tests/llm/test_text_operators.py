@@ -325,6 +325,7 @@ def test_decontamination(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = decontamination.contaminated(df, bench).collect()
+    assert sorted(map(str, got)) == sorted(map(str, decontamination.contaminated(df, bench, items_per_pass=4).collect()))
     assert {(r.doc_id, r.item_id) for r in got} == want | {(None, 0)}
     assert all(r.similarity >= 0.8 and r.n_words == len(items[r.item_id][1].split()) for r in got)
     left = decontamination.clean(df.withColumn("item_id", F.lit(1)), bench)

@@ -10,8 +10,10 @@ shingle multisets decides.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -233,32 +235,45 @@ def matches(items: Items, word: np.ndarray, before: np.ndarray, threshold: float
     return [(t, i, s, at - int(before[t]), len(items.words[i])) for (t, i), (s, at) in sorted(best.items())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_items: int = 100_000) -> DataFrame:
+_BUILT: dict[str, Items] = {}
+
+
+def items_of(key: str, rows: list) -> Items:
+    """The index of a pass, built once in a worker."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Items(rows)
+    return _BUILT[key]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, items_per_pass: int = 1000) -> DataFrame:
     """``doc_id, item_id, similarity, start_word, n_words``: one row for each document and item that it contains.
 
     Words are lower-cased, without ASCII punctuation, so that marks around a
-    passage hide nothing. The benchmark goes to every task; it has a stated
-    bound of ``max_items``, over which this raises. Null and empty texts and
-    items match nothing; an item of fewer than five words must occur whole.
-    Repeated rows give repeated results.
+    passage hide nothing. Each pass over the documents takes a part of the
+    benchmark, whose index (64 KB an item) every worker holds; a benchmark of
+    over ``items_per_pass`` items takes several. Null and empty texts and items
+    match nothing; an item of fewer than five words must occur whole. Repeated
+    rows give repeated results.
     """
-    rows = benchmark.select("item_id", "text").limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"the benchmark has more than {max_items} items")
-    listed = [(r.item_id, r.text) for r in rows]
-    sent = docs.sparkSession.sparkContext.broadcast(listed)
-    item_type = benchmark.schema["item_id"].dataType.simpleString()
+    rows = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()]
+    passes = [rows[i : i + items_per_pass] for i in range(0, max(1, len(rows)), items_per_pass)]
+    return reduce(DataFrame.unionByName, [_one_pass(docs, part, benchmark.schema["item_id"].dataType.simpleString(), threshold) for part in passes])
+
+
+def _one_pass(docs: DataFrame, rows: list, item_type: str, threshold: float) -> DataFrame:
+    sent, key = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(sent.value)
+        items = items_of(key, sent.value)
         for part, data, offsets in chunks(batches):
             word, before = plain_words(data, offsets)
             found = matches(items, word, before, threshold)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id").take(pa.array([x[0] for x in found], pa.int64())),
-                    pa.array([items.ids[x[1]] for x in found], pa.from_numpy_dtype(np.int64) if item_type == "bigint" else None),
+                    pa.array([items.ids[x[1]] for x in found], pa.int64() if item_type == "bigint" else None if found else pa.string()),
                     *(pa.array([x[k] for x in found], t) for k, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()))),
                 ],
                 ["doc_id", "item_id", "similarity", "start_word", "n_words"],
