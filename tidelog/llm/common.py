@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
 SPACES = (0x20, *range(0x09, 0x0E))
@@ -37,6 +38,11 @@ def keep(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent_if_few(ids: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """Ids to be joined with texts: sent to every task if they are few (under 64 MB there); else the texts are shuffled to them."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import IS_SPACE, LOWER, chunks, hash_segments, mix, word_bounds
+from tidelog.llm.common import IS_SPACE, LOWER, chunks, hash_segments, keep, mix, sent_if_few, word_bounds
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -284,5 +284,5 @@ def _one_pass(docs: DataFrame, rows: list, item_type: str, threshold: float) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` without a benchmark item in them; columns stay. Rows of one id go or stay together, rows without an id do so likewise."""
-    bad = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = keep(contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct())
+    return docs.join(sent_if_few(bad), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import chunks, distinct_per_text, keep, mix, shingles, words
+from tidelog.llm.common import chunks, distinct_per_text, keep, mix, sent_if_few, shingles, words
 from tidelog.llm.components import components
 
 REGISTERS = 256  # a power of two
@@ -31,8 +31,6 @@ LARGEST = 20.0
 SLACK = 20.0
 #: Sets of a family that are compared as one block.
 BLOCK = 64
-#: Ids that may be sent to every task (under 64 MB there); beyond, texts are shuffled to them.
-SENT_IDS = 1_000_000
 
 
 def sketch(values: np.ndarray, before: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -210,9 +208,7 @@ def linked(docs: DataFrame, sets: DataFrame, family: DataFrame, percent: int, wi
                         links.append((int(rep[x]), int(rep[y])))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    wanted = family.select(F.col("rep").alias("doc_id"))
-    # The few ids are sent to the texts if they are few; else the texts go to the ids.
-    wanted = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
+    wanted = sent_if_few(family.select(F.col("rep").alias("doc_id")))
     text = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     parts = _dealt(family).join(sets.select("rep", "n", "sketch"), "rep").join(text, F.col("rep") == F.col("doc_id")).select("cell", "side", "family", "rep", "n", "sketch", "text")
     return parts.groupBy("cell").applyInArrow(compare, "a bigint, b bigint")
@@ -252,6 +248,9 @@ def one_of_each(docs: DataFrame, percent: int = 85, width: int = 5, registers: i
     """
     found = deduplicate(docs, percent, width, registers).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
     odd = keep(found.where("NOT _kept OR _rows > 1"))
-    single = docs.join(odd, F.col("doc_id") == F.col("_id"), "left_anti")
-    several = docs.join(odd.where("_kept"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    single = docs.join(sent_if_few(odd.select("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
+    repeated = odd.where("_kept").select("_id")
+    if repeated.isEmpty():
+        return single
+    several = docs.join(sent_if_few(repeated), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(several)
