@@ -21,6 +21,15 @@ QUERIES = {
 _RULES = ", ".join(f"('{h}', '{p}', '{h + p}', '{v}')" for h, p, v in url_filter.RULES)
 
 ORACLES = {
+    "op1_minhash_dedup": r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM t),
+        s AS (SELECT DISTINCT doc_id, sh FROM g), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 85 * (i.n + j.n - c)),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+        m AS (SELECT x, min(y) AS root FROM r GROUP BY x)
+        SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id, m.root = t.doc_id AS kept FROM t LEFT JOIN n ON n.doc_id = t.doc_id JOIN m ON m.x = t.doc_id""",
     "op4_warc": f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
         r AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM r),
