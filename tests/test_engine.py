@@ -52,6 +52,20 @@ def test_cursor(spark):
     assert [r.k.decode() for r in resolve.ordered(log, True).collect()] == list("nmlkjihgfedcba")
 
 
+def test_ranges_and_ordinals_of_byte_keys(spark):
+    rng = random.Random(8)
+    kv = [(f"shared-prefix-{rng.randrange(10**6):06d}".encode()[: rng.randint(15, 20)], i, 1, b"") for i in range(1, 400)]
+    log = spark.createDataFrame([*kv, (None, 400, 1, b"")], LOG).repartition(5)
+    assert cursor.ranged(log, log, "k").select("_b").distinct().count() > 2
+    want = [(k, s) for k, s, _, _ in sorted(kv, key=lambda r: (r[0], -r[1]))] + [(None, 400)]
+    for reverse in (False, True):
+        got = [(r.k and bytes(r.k), r.seq) for r in cursor.ordinal(log, reverse).orderBy("ordinal").collect()]
+        assert got == (want[::-1] if reverse else want)
+    ks = sorted({k for k, *_ in kv})
+    nxt = {bytes(r.k): r.next_k and bytes(r.next_k) for r in cursor.with_next(log.where("k IS NOT NULL")).collect()}
+    assert nxt == dict(zip(ks, [*ks[1:], None]))
+
+
 def test_batches(spark):
     ops = [(1, b"city", b"shanghai2"), (1, b"city", b"shenzhen2"), (0, b"city", None)]
     df = spark.createDataFrame([(4, ops, 3), (7, [], 1)], "base_seq bigint, ops array<struct<op: int, k: binary, v: binary>>, n int")

@@ -45,21 +45,14 @@ def neighbours(log: DataFrame, targets: DataFrame, how: str = "ge", width: int |
 
     Keys and targets are merged into one range-partitioned order: each range
     finds its own answers and takes what lies beyond it from a table of one
-    row a range, so there is neither a range join nor a single-task window.
+    row a range, so there is neither a range join nor a window over all rows in one task.
     """
     forward = how in ("ge", "gt")
     # Among equal values the target stands where its bound excludes or includes the key.
     side = {"ge": 0, "gt": 2, "le": 2, "lt": 0}[how]
     keys = log.select(F.col("k").alias("_x")).distinct().withColumn("_s", F.lit(1)).withColumn("_k", F.col("_x"))
     asked = targets.select(F.col("t").alias("_x")).distinct().withColumn("_s", F.lit(side)).withColumn("_k", F.lit(None).cast(keys.schema["_k"].dataType))
-    both = keys.unionByName(asked)
-    n = width or int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Rows of equal _x share a range; the range number is fixed by cut points, not by task ids.
-    cuts = keys.select(F.percentile_approx("_x", [i / n for i in range(1, n)], 10000).alias("c")) if n > 1 and _numeric(keys) else None
-    if cuts is None:
-        placed = both.withColumn("_b", F.lit(0))
-    else:
-        placed = both.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("c", lambda c: c < F.col("_x")))).drop("c")
+    placed = ranged(keys.unionByName(asked), keys, "_x", width)
     order = [F.col("_x").asc(), F.col("_s").asc()] if not forward else [F.col("_x").desc(), F.col("_s").desc()]
     run = Window.partitionBy("_b").orderBy(*order)
     near = placed.withColumn("_n", F.last("_k", ignorenulls=True).over(run)).where(F.col("_s") == side)
@@ -69,8 +62,38 @@ def neighbours(log: DataFrame, targets: DataFrame, how: str = "ge", width: int |
     return near.join(F.broadcast(carry), "_b", "left").select(F.col("_x").alias("t"), F.coalesce("_n", "_c").alias("found"))
 
 
-def _numeric(df: DataFrame) -> bool:
-    return df.schema["_x"].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")
+_NUMERIC = ("byte", "short", "integer", "long", "float", "double")
+
+
+def ranged(rows: DataFrame, keys: DataFrame, column: str, parts: int | None = None) -> DataFrame:
+    """``rows`` with ``_b``, a range number that never falls as ``column`` rises; equal values share a range.
+
+    Ranges are cut at quantiles of ``keys``: of the values if they are numbers,
+    of the six bytes after the common prefix if they are strings or bytes.
+    Other types are one range.
+    """
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = keys.schema[column].dataType.typeName()
+    if kind in _NUMERIC:
+        place = lambda c: c
+    elif kind in ("string", "binary"):
+        low, high = keys.agg(F.min(F.col(column).cast("binary")), F.max(F.col(column).cast("binary"))).first()
+        low, high = bytes(low or b""), bytes(high or b"")
+        shared = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+
+        def place(c: Column) -> Column:
+            c = c.cast("binary")
+            digits = F.rpad(F.hex(F.substring(c, shared + 1, 6)), 12, "0")
+            inside = F.conv(digits, 16, 10).cast("bigint")
+            return F.when(c < F.lit(bytearray(low)), -1).when(c > F.lit(bytearray(high)), 1 << 48).otherwise(inside)
+
+    else:
+        return rows.withColumn("_b", F.lit(0))
+    if n < 2:
+        return rows.withColumn("_b", F.lit(0))
+    cuts = keys.select(F.percentile_approx(place(F.col(column)), [i / n for i in range(1, n)], 10000).alias("_cuts"))
+    spot = rows.withColumn("_at", place(F.col(column))).crossJoin(F.broadcast(cuts))
+    return spot.withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_at"))), F.lit(0))).drop("_at", "_cuts")
 
 
 def with_next(log: DataFrame) -> DataFrame:
@@ -87,12 +110,18 @@ def with_prev(log: DataFrame) -> DataFrame:
 def ordinal(log: DataFrame, reverse: bool = False) -> DataFrame:
     """Number the versions 1.. in version order, without a single-task window.
 
-    Keys are counted first (one row a key), their running totals give each
-    key its base, and ranks are taken within keys.
+    Keys are counted first and cut into ranges: totals of ranges, then of keys
+    in a range, give each key its base, and ranks are taken within keys. Null
+    keys stand last, in a range of their own.
     """
     per_key = log.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
+    placed = ranged(per_key, per_key, "k").withColumn("_b", F.when(F.col("k").isNull(), 1 << 30).otherwise(F.col("_b")))
     key_order = F.col("k").desc_nulls_first() if reverse else F.col("k").asc_nulls_last()
-    base = per_key.select("k", (F.sum("_n").over(Window.orderBy(key_order)) - F.col("_n")).alias("_base"))
+    totals = placed.groupBy("_b").agg(F.sum("_n").alias("_t"))
+    over = Window.orderBy(F.col("_b").desc() if reverse else F.col("_b").asc())
+    first = totals.select("_b", (F.sum("_t").over(over) - F.col("_t")).alias("_f"))
+    run = Window.partitionBy("_b").orderBy(key_order)
+    base = placed.join(F.broadcast(first), "_b").select("k", (F.col("_f") + F.sum("_n").over(run) - F.col("_n")).alias("_base"))
     inside = Window.partitionBy("k").orderBy(*version_order(reverse)[1:])
     ranked = log.withColumn("_r", F.row_number().over(inside))
     joined = ranked.alias("l").join(base.alias("b"), F.col("l.k").eqNullSafe(F.col("b.k"))).drop(F.col("b.k"))
