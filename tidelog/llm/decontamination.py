@@ -32,6 +32,9 @@ BLOCKS = 8
 RATIO = 1.2
 STRIDE = 6
 
+#: Text bytes at a time.
+CHUNK = 2 << 20
+
 #: ASCII characters that are neither letters nor digits separate words here.
 _BREAKS = IS_SPACE | np.isin(np.arange(256), [c for c in range(128) if not chr(c).isalnum()])
 
@@ -267,7 +270,7 @@ def _one_pass(docs: DataFrame, rows: list, item_type: str, threshold: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = items_of(key, sent.value)
-        for part, data, offsets in chunks(batches):
+        for part, data, offsets in chunks(batches, limit=CHUNK):
             word, before = plain_words(data, offsets)
             found = matches(items, word, before, threshold)
             yield pa.RecordBatch.from_arrays(

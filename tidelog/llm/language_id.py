@@ -23,6 +23,8 @@ DIM = 1024
 UNKNOWN = "und"
 _FIXED = 1 << 20
 _BLOCK = 4096
+#: Text bytes at a time: some 200 bytes of work space each.
+CHUNK = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -98,7 +100,7 @@ def learn(docs: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, int], int] = {}
-        for rows, data, offsets in chunks(batches):
+        for rows, data, offsets in chunks(batches, limit=CHUNK):
             who, gram, count, _ = trigrams(data, offsets)
             norm = _norms(who, count, rows.num_rows)
             weight = np.rint(_FIXED * count / norm[who]).astype(np.int64)
@@ -137,7 +139,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, product = np.zeros(0, np.uint64), np.zeros((0, len(names)))
-        for rows, data, offsets in chunks(batches):
+        for rows, data, offsets in chunks(batches, limit=CHUNK):
             who, gram, count, has = trigrams(data, offsets)
             new = np.setdiff1d(gram, code)
             for at in range(0, len(new), _BLOCK):

@@ -29,6 +29,8 @@ BASE = 1.1
 LARGEST = 20.0
 #: Log-likelihood by which the threshold may fall short of the best estimate.
 SLACK = 20.0
+#: Text bytes that are sketched at a time.
+CHUNK = 2 << 20
 #: Sets of a family that are compared as one block.
 BLOCK = 64
 
@@ -119,7 +121,7 @@ def sketched(docs: DataFrame, width: int = 5, registers: int = REGISTERS) -> Dat
     """``doc_id, n_shingles, digest, sketch`` of each row; a set without shingles has neither digest nor sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in chunks(batches):
+        for rows, data, offsets in chunks(batches, limit=CHUNK):
             values, before = distinct_per_text(*shingles(*words(data, offsets), width))
             n = np.diff(before)
             made = sketch(values, before, registers)
