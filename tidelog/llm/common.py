@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -56,6 +58,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks, and what it holds is its executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of about ``limit`` bytes of text: (rows, bytes of all texts end to end, their offsets).
 
@@ -72,6 +81,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             data = np.frombuffer(b"".join(part.to_pylist()), np.uint8)
             yield batch.slice(at, end - at), data, total[at : end + 1] - total[at]
             at = end
+        give_back()
 
 
 def _powers(n: int) -> np.ndarray:
