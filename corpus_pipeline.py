@@ -16,8 +16,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group."""
-    return minhash_dedup.one_of_each(docs)
+    """One document of each group that similarities of 0.8 or more link."""
+    return minhash_dedup.one_of_each(docs, percent=80)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

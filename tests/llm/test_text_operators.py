@@ -116,6 +116,27 @@ def test_sketches_merge_and_estimate():
     assert minhash_dedup.odds(one[:1], one[1:2], n, n, 0.8)[0] == -np.inf
 
 
+def test_pairs_at_the_threshold_share_a_band():
+    values = np.random.default_rng(8).integers(0, 1 << 62, 300_000).astype(np.uint64).reshape(3000, 100)
+    size = np.tile([100, 80], 3000)
+    made = minhash_dedup.sketch(np.concatenate([x for v in values for x in (v, v[:80])]), np.concatenate([[0], np.cumsum(size)]))
+    assert [minhash_dedup.band_of(p) for p in (85, 80)] == [8, 6]
+    a, b = minhash_dedup._candidates(made, np.repeat(np.arange(3000), 2), np.zeros(6000, int), 6)
+    assert {(2 * i, 2 * i + 1) for i in range(3000)} <= set(zip(a.tolist(), b.tolist()))
+
+
+def test_pipeline_links_from_a_similarity_of_80(spark):
+    import corpus_pipeline
+
+    rng = random.Random(80)
+    texts = []
+    for more in (18, 20, 22, 24, 25, 26, 30):  # 100 shingles of 100 + more
+        base = sentence(rng, 104, 5000)
+        texts += [base, base + " " + sentence(rng, more, 5000)]
+    left = corpus_pipeline.without_near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "")
+    assert sorted(r.doc_id for r in left.collect()) == [0, 2, 4, 6, 8, 10, 11, 12, 13]
+
+
 def test_ngram_lm(docs, corpus, empty):
     tokens = [(i, [*words_of(t), "</s>"]) for i, t, *_ in corpus]
     held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in tokens]

@@ -23,7 +23,9 @@ from tidelog.llm.common import chunks, distinct_per_text, keep, mix, sent_if_few
 from tidelog.llm.components import components
 
 REGISTERS = 256  # a power of two
+#: Most registers of a band, and the most likely that a pair at the threshold shares no band.
 BAND = 8
+MISS = 2e-5
 BASE = 1.1
 #: Values from here on share register 0; a byte reaches down to 5e-10 of it.
 LARGEST = 20.0
@@ -133,10 +135,16 @@ def sketched(docs: DataFrame, width: int = 5, registers: int = REGISTERS) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, sketch binary")
 
 
-def families(sets: DataFrame, registers: int = REGISTERS) -> DataFrame:
+def band_of(percent: int, registers: int = REGISTERS) -> int:
+    """The longest band that keeps to MISS, or a single register; registers are the least often equal where one set holds the other."""
+    same = 1 + math.log1p(-(1 - percent / 100) * (BASE - 1) / BASE) / math.log(BASE)
+    return next((b for b in range(BAND, 1, -1) if (1 - same**b) ** (registers // b) <= MISS), 1)
+
+
+def families(sets: DataFrame, registers: int = REGISTERS, band: int = BAND) -> DataFrame:
     """``(rep, family)`` of all sets that share a band with another: sets of one bucket, and what they share buckets with, are one family."""
-    spots = F.sequence(F.lit(0), F.lit(registers // BAND - 1))
-    keys = F.transform(spots, lambda i: F.xxhash64(i, F.substr(F.col("sketch"), i * BAND + 1, F.lit(BAND))))
+    spots = F.sequence(F.lit(0), F.lit(registers // band - 1))
+    keys = F.transform(spots, lambda i: F.xxhash64(i, F.substr(F.col("sketch"), i * band + 1, F.lit(band))))
     rows = sets.select("rep", F.explode(keys).alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("bucket", "hub")
     pairs = rows.join(shared, "bucket").where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
@@ -155,9 +163,12 @@ def _dealt(family: DataFrame) -> DataFrame:
     return small.unionByName(meet)
 
 
-def _candidates(made: np.ndarray, family: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one cell that share a family and a band; of two blocks, only pairs across them."""
-    keys = np.ascontiguousarray(made).view(np.uint64)
+def _candidates(made: np.ndarray, family: np.ndarray, side: np.ndarray, size: int = BAND) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one cell that share a family and a band of ``size`` registers; of two blocks, only pairs across them."""
+    bands = made.shape[1] // size
+    keys = np.zeros((len(made), bands, 8), np.uint8)
+    keys[:, :, :size] = made[:, : bands * size].reshape(len(made), bands, size)
+    keys = keys.view(np.uint64)[:, :, 0]
     near = np.zeros((len(made), len(made)), bool)
     for band in range(keys.shape[1]):
         key = mix(keys[:, band] ^ mix(family.astype(np.uint64)))
@@ -185,7 +196,7 @@ def linked(docs: DataFrame, sets: DataFrame, family: DataFrame, percent: int, wi
         rep, family_, side = (table.column(c).to_numpy() for c in ("rep", "family", "side"))
         made = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
         n = table.column("n").to_numpy().astype(float)
-        a, b = _candidates(made, family_, side)
+        a, b = _candidates(made, family_, side, band_of(percent, made.shape[1]))
         score = np.concatenate([odds(made[a[i : i + 4096]], made[b[i : i + 4096]], n[a[i : i + 4096]], n[b[i : i + 4096]], threshold) for i in range(0, len(a), 4096)] or [np.zeros(0)])
         links = []
         if (score > -np.inf).any():
@@ -234,7 +245,7 @@ def deduplicate(docs: DataFrame, percent: int = 85, width: int = 5, registers: i
     """
     base = keep(sketched(docs, width, registers))
     sets = keep(base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    family = keep(families(sets, registers))
+    family = keep(families(sets, registers, band_of(percent, registers)))
     found = components(linked(docs, sets, family, percent, width))
     ends = sets.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     joined = base.select("doc_id", "n_shingles", "digest").join(ends, "digest", "left")
