@@ -354,6 +354,21 @@ def test_decontamination(spark):
     assert decontamination.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_alone(spark):
+    rng = random.Random(10)
+    items = [(n, sentence(rng, n, 5000)) for n in [*range(1, 60), 90, 150, 300, 700]]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(n, t) for n, t in items] + [(1000 + n, " ".join(t.split()[: n - (n - 4) // 6])) for n, t in items if n >= 10]
+    rows += [(2000 + n, sentence(rng, 40, 5000) + " " + t) for n, t in items if n >= 5]
+    index, found = decontamination.Items(items), set()
+    for d, t in rows:  # each a chunk of its own
+        raw = np.frombuffer(t.encode(), np.uint8)
+        found |= {(d, index.ids[i]) for _, i, *_ in decontamination.matches(index, *decontamination.plain_words(raw, np.array([0, len(raw)])))}
+    assert {(d, d % 1000) for d, _ in rows} <= found
+    alone = spark.createDataFrame(items[4:40], "doc_id bigint, text string").repartitionByRange(36, "doc_id")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(alone, bench).collect()} == {(n, n) for n, _ in items[4:40]}
+
+
 def test_hamming_index_finds_all_within_radius():
     rng = np.random.default_rng(4)
     items = rng.integers(0, 1 << 63, (2, 70)).astype(np.uint64)

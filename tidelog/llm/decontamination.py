@@ -4,7 +4,8 @@ Windows of the items' sizes slide over each document. A window's fingerprint
 is the sign of its shingles' summed random signs; sums come from packed running
 totals. Multi-index tables on blocks of the fingerprint give, by the pigeonhole
 principle, every item within the radius; the exact weighted similarity of the
-shingle multisets decides.
+shingle multisets decides. Windows at the end of the words are as short as
+what is left there.
 """
 
 from __future__ import annotations
@@ -88,26 +89,30 @@ def _votes(shingle: np.ndarray, lane: int) -> Iterator[np.ndarray]:
 
 
 def fingerprints(shingle: np.ndarray, windows: list[tuple[int, int]]) -> list[np.ndarray]:
-    """For each (size in shingles, stride): fingerprints of the windows, as two 64-bit words each."""
+    """For each (size in shingles, stride): fingerprints of the windows, as two 64-bit words each; the last ones end with the shingles."""
     lane = next(x for x in (8, 16, 32) if max((w for w, _ in windows), default=1) < 1 << (x - 1))
     per = 64 // lane
-    out = [np.zeros((BITS // 64, max(0, -(-(len(shingle) - w + 1) // s))), np.uint64) for w, s in windows]
+    out = [np.zeros((BITS // 64, -(-len(shingle) // s)), np.uint64) for _, s in windows]
     top = np.uint64(sum(1 << (lane * i + lane - 1) for i in range(per)))
+    each = np.uint64(sum(1 << (lane * i) for i in range(per)))
+    ends, bias = [], []
     for (w, s), got in zip(windows, out):
-        got.fill(0)
+        start = np.arange(got.shape[1]) * s
+        ends.append(np.minimum(start + w, len(shingle)))
+        bias.append((np.uint64(1 << (lane - 1)) - ((ends[-1] - start) // 2 + 1).astype(np.uint64)) * each)
     space = np.empty((2, max((g.shape[1] for g in out), default=0)), np.uint64)
     step = min(8, per)
     # Multiplied by this, top bits of eight-bit lanes come together in the highest byte.
     gather = np.uint64(0x0002040810204081)
     for k, total in enumerate(_votes(shingle, lane)):
         word, base = divmod(k * step, 64)
-        for (w, s), got in zip(windows, out):
+        for (w, s), got, end, half in zip(windows, out, ends, bias):
             m = got.shape[1]
             if not m:
                 continue
             # A lane's top bit is set where ones are over half of the window.
-            high = np.subtract(total[w::s][:m], total[: len(total) - w : s], out=space[0, :m])
-            high += np.uint64(sum(((1 << (lane - 1)) - (w // 2 + 1)) << (lane * i) for i in range(per)))
+            high = np.subtract(total.take(end), total[:-1:s], out=space[0, :m])
+            high += half
             high &= top
             if lane == 8:
                 high *= gather
@@ -179,7 +184,7 @@ class Items:
         for k in sorted(set(steps.values())):
             mine = [i for i in steps if steps[i] == k]
             w = max(1, round(RATIO**k))
-            prints = np.concatenate([fingerprints(running_shingles(self.words[i]), [(size[i], 1)])[0] for i in mine], axis=1)
+            prints = np.concatenate([fingerprints(running_shingles(self.words[i]), [(size[i], size[i])])[0] for i in mine], axis=1)
             self.groups.append((w, max(1, round(w / STRIDE)), np.array(mine), HammingIndex(prints)))
 
     def verify(self, item: int, shingle: list[int], slack: int, threshold: float) -> tuple[float, int]:
