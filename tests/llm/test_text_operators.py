@@ -176,6 +176,35 @@ def test_ngram_lm(docs, corpus, empty):
     assert ngram_lm.score_documents(empty).count() == 0
 
 
+def test_ngram_query_keeps_ngrams_seen_once(spark, tmp_path):
+    from tidelog.llm import queries
+
+    ids = [i for i in range(1000) if (zlib.crc32(str(i).encode()) % 10 == 0) == (i < 500)]
+    rows = [(ids[0], "a b c d"), (ids[-1], "a b c d"), (ids[-2], "e b f d")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    train = [["<s>", *t.split(), "</s>"] for _, t in rows[1:]]
+    uni, bi, tri, ctx = Counter(), Counter(), Counter(), Counter()
+    for x in train:
+        uni.update(x[1:])
+        bi.update(zip(x, x[1:]))
+        tri.update(zip(x, x[1:], x[2:]))
+        ctx.update(x[:-1])
+    n, cut, score = sum(uni.values()), ngram_lm.DISCOUNT, 0.0
+    x = train[0]
+    for j in range(1, len(x)):
+        p = (uni[x[j]] + 0.1) / (n + 0.1 * (len(uni) + 1))
+        own = sum(c - cut for (a, _), c in bi.items() if a == x[j - 1]) / ctx[x[j - 1]]
+        p = (bi[x[j - 1], x[j]] - cut) / ctx[x[j - 1]] + (1 - own) * p
+        if j > 1:
+            pair = (x[j - 2], x[j - 1])
+            own = sum(c - cut for (a, b, _), c in tri.items() if (a, b) == pair) / bi[pair]
+            p = (tri[*pair, x[j]] - cut) / bi[pair] + (1 - own) * p
+        score += math.log10(p)
+    got = {r.doc_id: r for r in queries.QUERIES["op2_ngram_lm"](spark, str(tmp_path)).collect()}
+    assert got[ids[0]].held_out and not got[ids[-1]].held_out
+    assert got[ids[0]].score == pytest.approx(score, rel=5e-3) and got[ids[0]].score > got[ids[0]].base_score
+
+
 @pytest.mark.parametrize("n,universe", [(0, 9), (1, 1), (50, 60), (2000, 1 << 60), (3000, 40)])
 def test_elias_fano(n, universe):
     rng = np.random.default_rng(n)

@@ -28,7 +28,7 @@ from tidelog.llm.elias_fano import EliasFano, from_buffer, named, part, to_bytes
 
 ADD = 0.1
 DISCOUNT = 0.75
-#: Bigrams and trigrams of fewer training occurrences are left to the lower order; their mass goes there.
+#: Unless told otherwise, bigrams and trigrams of fewer training occurrences are left to the lower order; their mass goes there.
 MIN_COUNT = 2
 #: Text bytes of a shard, and the least number of shards.
 SHARD_BYTES = 64 << 20
@@ -267,7 +267,7 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _level(context: np.ndarray, value: np.ndarray, count: np.ndarray, total: np.ndarray, contexts: int) -> dict[str, np.ndarray]:
     """Arrays of a level from sorted n-grams: pointers, successors relative to their context, shares, rests and counts.
 
-    ``total`` is each n-gram's context total; only n-grams of MIN_COUNT are given.
+    ``total`` is each n-gram's context total; only n-grams that are kept are given.
     """
     share = encode_share((count - DISCOUNT) / total)
     left = 1 - np.bincount(context, _SHARE[share], contexts)
@@ -284,9 +284,11 @@ def _level(context: np.ndarray, value: np.ndarray, count: np.ndarray, total: np.
     return out | named(EliasFano.build(pointer, int(pointer[-1]) + 1), "pointer") | named(EliasFano.build(following, span), "next")
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
     """Learn from all whole texts of ``docs(text)``; null texts count as empty, an empty table gives a model without words.
 
+    Bigrams and trigrams from ``min_count`` occurrences on are kept; 1 keeps all.
+
     Three passes count words, bigrams and trigrams; each sums in tasks, goes to
     its shard once, and is written there as a level.
     """
@@ -333,7 +335,7 @@ def train(docs: DataFrame) -> Model:
         context, value = (keys >> np.uint64(32)).astype(np.int64) - lo, keys & np.uint64(0xFFFFFFFF)
         contexts = int(context[-1]) + 1
         total = np.bincount(context, counts, contexts)
-        kept = counts >= MIN_COUNT
+        kept = counts >= min_count
         level = _level(context[kept], value[kept], counts[kept], total[context[kept]], contexts)
         return _told(table, _write(folder, "bigrams", level), int(kept.sum()), int(counts.sum()))
 
@@ -351,7 +353,7 @@ def train(docs: DataFrame) -> Model:
         keys, counts = _gathered(table)
         lo = int(model.bigrams.first[shard])
         context, value = (keys >> np.uint64(_REL)).astype(np.int64) - lo, keys & np.uint64((1 << _REL) - 1)
-        kept = counts >= MIN_COUNT
+        kept = counts >= min_count
         context, value, counts = context[kept], value[kept], counts[kept]
         bigrams = model.bigrams.arrays(shard)["count"]
         level = _level(context, value, counts, bigrams[context].astype(np.int64), len(bigrams))
@@ -422,12 +424,13 @@ def held_out() -> "F.Column":
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row, learning from those not held out.
 
+    The model keeps n-grams from ``min_count`` occurrences on; 1 cuts nothing.
     A null or empty text is its end alone. Rows without an id are learned from.
     Repeated rows count and are scored each.
     """
     rows = docs.select("doc_id", "text").withColumn("held_out", held_out())
-    model = train(rows.where(~F.col("held_out")))
+    model = train(rows.where(~F.col("held_out")), min_count)
     return scored(rows, model, ("doc_id", "held_out"))

@@ -7,7 +7,7 @@ from tidelog.llm.common import table
 
 QUERIES = {
     "op1_minhash_dedup": lambda s, d: minhash_dedup.deduplicate(table(s, d, "documents")),
-    "op2_ngram_lm": lambda s, d: ngram_lm.score_documents(table(s, d, "documents")),
+    "op2_ngram_lm": lambda s, d: ngram_lm.score_documents(table(s, d, "documents"), min_count=1),
     "op3_packing": lambda s, d: packing.pack(table(s, d, "documents")),
     "op4_warc": lambda s, d: warc.archive(table(s, d, "pages")),
     "op5_url_filter": lambda s, d: url_filter.judge(table(s, d, "pages")),
