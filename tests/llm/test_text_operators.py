@@ -398,6 +398,17 @@ def test_decontamination_of_items_alone(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(alone, bench).collect()} == {(n, n) for n, _ in items[4:40]}
 
 
+def test_decontamination_judges_rows_not_ids(spark):
+    rng = random.Random(11)
+    items = [(i, sentence(rng, 30, 5000)) for i in range(3)]
+    other = [sentence(rng, 60, 5000) for _ in range(4)]
+    rows = [(None, items[0][1]), (None, other[0]), (None, other[1]), (7, items[2][1]), (7, other[2]), (8, other[3])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for n in (1000, 2):
+        assert sorted(r.text for r in decontamination.clean(df, bench, items_per_pass=n).collect()) == sorted(other)
+
+
 def test_hamming_index_finds_all_within_radius():
     rng = np.random.default_rng(4)
     items = rng.integers(0, 1 << 63, (2, 70)).astype(np.uint64)

@@ -19,9 +19,8 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidelog.llm.common import IS_SPACE, LOWER, chunks, hash_segments, keep, mix, sent_if_few, word_bounds
+from tidelog.llm.common import IS_SPACE, LOWER, chunks, hash_segments, keep, mix, word_bounds
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -290,7 +289,25 @@ def _one_pass(docs: DataFrame, rows: list, item_type: str, threshold: float) ->
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, item_id {item_type}, similarity double, start_word bigint, n_words bigint")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` without a benchmark item in them; columns stay. Rows of one id go or stay together, rows without an id do so likewise."""
-    bad = keep(contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(sent_if_few(bad), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, items_per_pass: int = 1000) -> DataFrame:
+    """Rows of ``docs`` without a benchmark item in them; columns stay. Each row is judged alone, whatever its id.
+
+    The rows left are written to the shared folder between passes.
+    """
+    rows = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()]
+    for at in range(0, len(rows), items_per_pass):
+        docs = _without(keep(docs) if at else docs, rows[at : at + items_per_pass], threshold)
+    return docs
+
+
+def _without(docs: DataFrame, rows: list, threshold: float) -> DataFrame:
+    sent, key = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = items_of(key, sent.value)
+        for part, data, offsets in chunks(batches, limit=CHUNK):
+            left = np.ones(part.num_rows, bool)
+            left[[x[0] for x in matches(items, *plain_words(data, offsets), threshold)]] = False
+            yield part.filter(pa.array(left))
+
+    return docs.mapInArrow(run, docs.schema)
