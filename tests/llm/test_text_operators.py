@@ -205,6 +205,22 @@ def test_ngram_query_keeps_ngrams_seen_once(spark, tmp_path):
     assert got[ids[0]].score == pytest.approx(score, rel=5e-3) and got[ids[0]].score > got[ids[0]].base_score
 
 
+def test_ngram_words_may_outnumber_successors(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "_REL", 6, raising=False)  # a fixed width that 200 words don't fit
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(0, text), (1, text)], "doc_id bigint, text string")
+    model = ngram_lm.train(docs, 1)
+    assert model.types == 201 and model.rel == 1
+    got = ngram_lm.scored(docs, model).first()
+    cut, want = ngram_lm.DISCOUNT, 0.0
+    for j in range(201):  # every n-gram occurs twice and is its context's only one
+        p = (2 + 0.1) / (402 + 0.1 * 202)
+        for _ in range(1 + (j > 0)):
+            p = (2 - cut) / 2 + cut / 2 * p
+        want += math.log10(p)
+    assert got.score == pytest.approx(want, rel=5e-3)
+
+
 @pytest.mark.parametrize("n,universe", [(0, 9), (1, 1), (50, 60), (2000, 1 << 60), (3000, 40)])
 def test_elias_fano(n, universe):
     rng = np.random.default_rng(n)

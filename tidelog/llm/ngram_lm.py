@@ -38,7 +38,6 @@ CHUNK = 8 << 20
 GATHER = 2_000_000
 END = mix(np.array([0xE4D], np.uint64))[0]
 _SCALE = 2048
-_REL = 26
 
 
 def encode_share(x: np.ndarray) -> np.ndarray:
@@ -124,6 +123,8 @@ class Model:
         self.bits, self.unigrams, self.tokens, self.types = bits, unigrams, tokens, types
         self.bigrams: Shards | None = None
         self.trigrams: Shards | None = None
+        #: Bits of a place among the successors of a word, one value of which is free.
+        self.rel = 1
 
     def numbers(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number or -1, training count) of sorted distinct word hashes."""
@@ -337,31 +338,32 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
         total = np.bincount(context, counts, contexts)
         kept = counts >= min_count
         level = _level(context[kept], value[kept], counts[kept], total[context[kept]], contexts)
-        return _told(table, _write(folder, "bigrams", level), int(kept.sum()), int(counts.sum()))
+        return _told(table, _write(folder, "bigrams", level), int(kept.sum()), int(np.bincount(context[kept]).max(initial=0)))
 
     made = keep(_count(docs, bigram_keys, by_context(unigrams.first, 32)).groupBy("shard").applyInArrow(write_bigrams, told)).collect()
     model.bigrams, nodes = _shards(folder, made, shards)
+    model.rel = rel = max(1, max((r.total for r in made), default=0).bit_length())
 
     def trigram_keys(data, offsets) -> np.ndarray:
         number, _, before = _numbered(model, data, offsets)
         node, relative, _, _ = _bigrams_of(model, _pairs(number, before, start), number)
         _, context, value = _trigram_keys(model, node, relative, before)
-        return context.astype(np.uint64) << np.uint64(_REL) | value.astype(np.uint64)
+        return context.astype(np.uint64) << np.uint64(rel) | value.astype(np.uint64)
 
     def write_trigrams(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         keys, counts = _gathered(table)
         lo = int(model.bigrams.first[shard])
-        context, value = (keys >> np.uint64(_REL)).astype(np.int64) - lo, keys & np.uint64((1 << _REL) - 1)
+        context, value = (keys >> np.uint64(rel)).astype(np.int64) - lo, keys & np.uint64((1 << rel) - 1)
         kept = counts >= min_count
         context, value, counts = context[kept], value[kept], counts[kept]
         bigrams = model.bigrams.arrays(shard)["count"]
         level = _level(context, value, counts, bigrams[context].astype(np.int64), len(bigrams))
         return _told(table, _write(folder, "trigrams", level), len(counts), 0)
 
-    if max(types + 1, 1) >= 1 << 32 or nodes >= 1 << 38 or types >= 1 << _REL:
+    if max(types + 1, 1) >= 1 << 32 or nodes >= 1 << 64 - rel:
         raise ValueError("too many words for one model; raise the widths of the keys")
-    made = keep(_count(docs, trigram_keys, by_context(model.bigrams.first, _REL)).groupBy("shard").applyInArrow(write_trigrams, told)).collect()
+    made = keep(_count(docs, trigram_keys, by_context(model.bigrams.first, rel)).groupBy("shard").applyInArrow(write_trigrams, told)).collect()
     model.trigrams, _ = _shards(folder, made, shards)
     return model
 
@@ -412,8 +414,8 @@ def _with_trigrams(model: Model, node: np.ndarray, relative: np.ndarray, before:
     context = _pairs(node, before, -1)
     some = np.flatnonzero(context >= 0)
     # A token that doesn't follow its left neighbour in the model can't follow both.
-    value = np.where(node[some] >= 0, relative[some], (1 << _REL) - 1)
-    first, back = _unique_pairs(context[some], value, _REL)
+    value = np.where(node[some] >= 0, relative[some], (1 << model.rel) - 1)
+    first, back = _unique_pairs(context[some], value, model.rel)
     _, _, share, rest = model.trigram(context[some][first], value[first])
     out = p.copy()
     out[some] = share[back] + rest[back] * p[some]
