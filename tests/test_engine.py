@@ -201,3 +201,20 @@ def test_streaming_ingest(spark, tmp_path):
     ingest.ingest(stream, f"{tmp_path}/log", f"{tmp_path}/cp").awaitTermination()
     got = resolve.live(ingest.ingested(spark, f"{tmp_path}/log"))
     assert [(bytes(r.k), bytes(r.v)) for r in got.orderBy("k").collect()] == [(f"k{j}".encode(), b"2") for j in range(4)]
+
+
+def test_crc32c_of_every_payload(spark, tmp_path):
+    from tidelog.plans.queries import QUERIES
+
+    def crc(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    rows = [(i, t) for i, t in enumerate(["", "{}", '{"k": 1}', "é東" * 700, "x" * 9001, '{"k": 1}'])] + [(9, None)]
+    spark.createDataFrame(rows, "event_id bigint, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["crc32c_props"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, None if t is None else crc(t.encode())) for i, t in rows]

@@ -438,6 +438,12 @@ def crc32c(spark, d):
     return e.select("event_type", codec.crc32c(F.encode("event_type", "UTF-8")).alias("crc"))
 
 
+@query()
+def crc32c_props(spark, d):
+    crc = F.when(F.col("props").isNotNull(), codec.crc32c(F.encode("props", "UTF-8")))
+    return table(spark, d, "events").select("event_id", crc.alias("crc"))
+
+
 @query("SELECT event_id, (((event_id * 2654435761 & 4294967295) >> 15 | ((event_id * 2654435761 & 4294967295) << 17 & 4294967295)) + 2726488792) & 4294967295 AS masked FROM events")
 def masked_crc(spark, d):
     x = (F.col("event_id") * F.lit(2654435761)).bitwiseAND(F.lit(4294967295))
