@@ -14,14 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
-SPACES = (0x20, *range(0x09, 0x0E))
+#: Segments of up to so many bytes are hashed block by block, longer ones all blocks at once.
+_SHORT = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWER = np.ones(1, np.uint64)
-IS_SPACE = np.isin(np.arange(256), SPACES)
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return data + ((data - np.uint8(65)) < 26).view(np.uint8) * np.uint8(32)
+
+
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes are ASCII white space."""
+    return (data == 0x20) | ((data - np.uint8(9)) < 5)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,11 +38,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends there, and any executor can read it."""
-    path = folder or shared_folder(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def keep(df: DataFrame, *done: DataFrame, compression: str = "snappy") -> DataFrame:
+    """Write a table to the shared folder and read it again: lineage ends there, and any executor can read it.
+
+    ``done`` are kept tables that nothing needs once this one is written; their files go.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._kept = path
+    for table_ in done:
+        forget(table_)
+    return kept
+
+
+def forget(kept: DataFrame) -> None:
+    """Delete the files of a kept table that is no longer read."""
+    jvm, path = kept.sparkSession.sparkContext._jvm, getattr(kept, "_kept", None)
+    if path:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(kept.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def sent_if_few(ids: DataFrame, limit: int = 1_000_000) -> DataFrame:
@@ -52,10 +72,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer."""
     h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    for _ in range(2):
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h
 
 
 def give_back() -> None:
@@ -65,61 +85,87 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A view of a text column's bytes and the offsets of its rows in it; nulls are empty."""
+    if column.null_count:
+        column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, at, raw = column.buffers()
+    if at is None or not len(column):
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    offsets = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of about ``limit`` bytes of text: (rows, bytes of all texts end to end, their offsets).
 
-    A null text counts as empty. A text longer than the limit is a slice of its own.
+    The bytes are a view of the batch. A null text counts as empty. A text
+    longer than the limit is a slice of its own.
     """
     for batch in batches:
-        texts = batch.column(column).cast(pa.large_binary())
-        size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
-        total = np.concatenate([[0], np.cumsum(size)])
+        data, total = _bytes_of(batch.column(column))
         at = 0
-        while at < len(size):
+        while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(total, total[at] + limit, "right")) - 1)
-            part = pc.fill_null(texts.slice(at, end - at), b"")
-            data = np.frombuffer(b"".join(part.to_pylist()), np.uint8)
-            yield batch.slice(at, end - at), data, total[at : end + 1] - total[at]
+            yield batch.slice(at, end - at), data[total[at] : total[end]], total[at : end + 1] - total[at]
             at = end
+        del data
         give_back()
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWER
-    if len(_POWER) < n:
-        step = np.full(max(n, 256), np.uint64(0x9E3779B97F4A7C15), np.uint64)
-        step[0] = 1
-        _POWER = np.multiply.accumulate(step)
-    return _POWER
+def _loads(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on."""
+    word, by = at >> 3, (at & 7).astype(np.uint64) << np.uint64(3)
+    # Shifting by 64 is undefined: the rest is shifted in two steps.
+    return words[word] >> by | (words[word + 1] << np.uint64(1)) << (np.uint64(63) - by)
+
+
+def _keyed(words: np.ndarray, at: np.ndarray, left: np.ndarray, number: np.ndarray | int) -> np.ndarray:
+    """Mixed blocks of up to eight bytes, each keyed with its number in its segment."""
+    block = _loads(words, at)
+    part = left < 8
+    if part.any():
+        block &= np.where(part, (np.uint64(1) << (np.minimum(left, 7).astype(np.uint64) << np.uint64(3))) - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF))
+    return mix(block + (np.atleast_1d(number).astype(np.uint64) + np.uint64(1)) * _STEP)
 
 
 def hash_segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte segments, in pieces of bounded size; segments are in order and don't overlap."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK_BYTES, "right")))
-        lo, hi = starts[at], ends[to - 1]
-        s, e = starts[at:to] - lo, ends[at:to] - lo
-        size = e - s
-        gap = np.diff(s, append=hi - lo)
-        pos = np.arange(hi - lo) - np.repeat(s, gap)
-        inside = pos < np.repeat(size, gap)
-        value = _BYTE[data[lo:hi]] * _powers(int(size.max()))[np.where(inside, pos, 0)] * inside
-        out[at:to] = mix(np.add.reduceat(value, s) + size.astype(np.uint64))
-        at = to
-    return out
-
-
-def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words, and the number of words before each text; a text's end also ends a word."""
-    word = ~space[data]
+    """64-bit hashes of byte segments.
+
+    Blocks of eight bytes are mixed with their number before they are added
+    up, so no structure inside a segment carries over to the sum: two segments
+    meet with probability 2^-64, however alike or regular they are.
+    """
+    words = np.zeros((len(data) >> 3) + 2, np.uint64)
+    words.view(np.uint8)[: len(data)] = data
+    starts, size = np.asarray(starts, np.int64), np.asarray(ends - starts, np.int64)
+    out = size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mine = np.flatnonzero(size > 0)
+    for k in range(_SHORT // 8):
+        if not len(mine):
+            break
+        out[mine] += _keyed(words, starts[mine] + 8 * k, size[mine] - 8 * k, k)
+        mine = mine[size[mine] > 8 * (k + 1)]
+    for at in range(0, len(mine), 1 << 16):
+        long_ = mine[at : at + (1 << 16)]
+        count = (size[long_] - _SHORT + 7) >> 3
+        first = np.cumsum(count) - count
+        number = np.arange(int(count.sum())) - np.repeat(first, count) + _SHORT // 8
+        begin, left = np.repeat(starts[long_], count) + 8 * number, np.repeat(size[long_], count) - 8 * number
+        out[long_] += np.add.reduceat(_keyed(words, begin, left, number), first)
+    return mix(out)
+
+
+def word_bounds(word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words, given which bytes belong to one, and the number of words before each text; a text's end also ends a word."""
     first = word.copy()
     first[1:] &= ~word[:-1]
     last = word.copy()
     last[:-1] &= ~word[1:]
     cut = offsets[1:-1]
-    cut = cut[(cut > 0) & (cut < len(data))]
+    cut = cut[(cut > 0) & (cut < len(word))]
     first[cut] = word[cut]
     last[cut - 1] = word[cut - 1]
     starts = np.flatnonzero(first)
@@ -128,9 +174,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SP
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts, and the number of words before each text."""
-    data = LOWER[data]
-    starts, ends, before = word_bounds(data, offsets)
-    return hash_segments(data, starts, ends), before
+    starts, ends, before = word_bounds(~is_space(data), offsets)
+    return hash_segments(lowered(data), starts, ends), before
 
 
 def shingles(word: np.ndarray, before: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidelog.llm.common import IS_SPACE, LOWER, chunks, hash_segments, keep, mix, word_bounds
+from tidelog.llm.common import chunks, hash_segments, keep, lowered, mix, word_bounds
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -35,15 +35,11 @@ STRIDE = 6
 #: Text bytes at a time.
 CHUNK = 2 << 20
 
-#: ASCII characters that are neither letters nor digits separate words here.
-_BREAKS = IS_SPACE | np.isin(np.arange(256), [c for c in range(128) if not chr(c).isalnum()])
-
-
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of lower-cased words without ASCII punctuation, and the number before each text."""
-    data = LOWER[data]
-    starts, ends, before = word_bounds(data, offsets, _BREAKS)
-    return hash_segments(data, starts, ends), before
+    """Hashes of lower-cased words, and the number before each text; ASCII characters that are neither letters nor digits separate them."""
+    low = lowered(data)
+    starts, ends, before = word_bounds((low >= 128) | ((low - np.uint8(97)) < 26) | ((low - np.uint8(48)) < 10), offsets)
+    return hash_segments(low, starts, ends), before
 
 
 def running_shingles(word: np.ndarray, width: int = WIDTH) -> np.ndarray:

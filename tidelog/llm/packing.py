@@ -17,23 +17,31 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import IS_SPACE, chunks, hash_segments, keep
+from tidelog.llm.common import chunks, is_space, keep
 
 WINDOW = 2048
 END_ID = 1
-CACHE_UNITS = 200_000
-#: Units over this many bytes aren't remembered.
-LONG_UNIT = 64
+SPECIAL = "<|endoftext|>"
 #: Pieces of open windows that may be sent to every task; beyond, texts are shuffled to them.
 SENT_PIECES = 200_000
 
 
+#: Bytes that begin a unit after a space: all but white space, ``<`` and what may lead a wider space.
+_BEGINS = ~(is_space(np.arange(256, dtype=np.uint8)) | np.isin(np.arange(256), (ord("<"), 0xC2, 0xE1, 0xE2, 0xE3)))
+
+
 @lru_cache(maxsize=2)
 def tokenizer(name: str):
-    """The vocabulary's encoder. The rank file of the same vocabulary gives the same ids (a test holds it to that)."""
+    """The vocabulary's encoder.
+
+    It is run from the rank file that comes with the ``tokenizers`` file: a
+    call on a single unit is several times as fast there, and the ids are the
+    same, which a test holds to that library on any text.
+    """
     import base64
 
     import public_tokenizers
@@ -41,7 +49,7 @@ def tokenizer(name: str):
 
     with open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {"<|endoftext|>": len(ranks)}
+    special = {SPECIAL: len(ranks)}
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
@@ -53,57 +61,79 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     none is assumed there. Text starts count as well.
     """
     cut = np.zeros(len(data) + 1, bool)
-    after = ~IS_SPACE & (np.arange(256) != ord("<")) & ~np.isin(np.arange(256), (0xC2, 0xE1, 0xE2, 0xE3))
-    if len(data) > 1:
-        cut[:-2] = (data[:-1] == 0x20) & after[data[1:]]
+    spot = np.flatnonzero(data[:-1] == 0x20)
+    cut[spot] = _BEGINS[data[spot + 1]]
     cut[np.maximum(offsets - 1, 0)] = False  # a text's last character has nothing after it
     cut[offsets] = True
     cut[-1] = False
     return np.flatnonzero(cut)
 
 
+def distinct_units(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(distinct byte strings between the starts, which of them each is); the bytes themselves are compared."""
+    ends = np.append(starts, len(data)).astype(np.int64)
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = column.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
 class Encoder:
-    """Token ids of many texts: each distinct unit of a chunk is encoded once.
+    """Token ids of many texts: the distinct units of a chunk are encoded in one call, end to end.
 
-    Units are remembered in two generations of bounded size: a full one becomes
-    the old one, and what is met again moves to the new.
+    What a unit tokenizes to doesn't depend on its neighbours if it begins
+    with a space and a character that isn't white space, so all such units may
+    follow each other, and token lengths tell them apart again. Others, and
+    those with the special token's text, are encoded one by one.
     """
 
     def __init__(self, name: str = "byte_bpe_50k.json"):
-        self._encode = tokenizer(name).encode
-        self._new: dict[bytes, np.ndarray] = {}
-        self._old: dict[bytes, np.ndarray] = {}
-
-    def _ids(self, piece: bytes) -> np.ndarray:
-        got = self._new.get(piece)
-        if got is None:
-            got = self._old.get(piece)
-            if got is None:
-                got = np.array(self._encode(piece.decode("utf-8", "replace"), allowed_special="all"), np.uint32)
-            if len(piece) <= LONG_UNIT:
-                self._new[piece] = got
-        return got
+        self._encoder = tokenizer(name)
+        self._size = np.array([len(self._encoder.decode_single_token_bytes(i)) for i in range(self._encoder.n_vocab)], np.int64)
+
+    def _alone(self, unit: bytes) -> np.ndarray:
+        return np.array(self._encoder.encode(unit.decode("utf-8", "replace"), allowed_special="all"), np.uint32)
+
+    def _ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of distinct units end to end, where each one's begin, their number)."""
+        end = np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(units) + 1]
+        raw = np.frombuffer(units.buffers()[2], np.uint8)
+        plain = (np.diff(end) > 1) & (raw[end[:-1]] == 0x20)
+        plain[plain] = _BEGINS[raw[end[:-1][plain] + 1]]
+        plain &= ~pc.match_substring(units, SPECIAL).to_numpy(zero_copy_only=False)
+        joined = units.filter(pa.array(plain)) if not plain.all() else units
+        size, parts = np.zeros(len(units), np.int64), []
+        if len(joined):
+            at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
+            try:
+                text = bytes(memoryview(joined.buffers()[2])[at[0] : at[-1]]).decode()
+            except UnicodeDecodeError:  # bytes that are no text: lengths would not be kept
+                plain[:] = False
+            else:
+                parts.append(self._encoder.encode_to_numpy(text, disallowed_special=()))
+                last = np.searchsorted(np.cumsum(self._size[parts[0]]), at[1:] - at[0]) + 1
+                size[plain] = np.diff(last, prepend=0)
+        rest = np.flatnonzero(~plain)
+        alone = [self._alone(u) for u in units.take(pa.array(rest)).to_pylist()]
+        size[rest] = [len(x) for x in alone]
+        begin = np.empty(len(units), np.int64)
+        begin[plain] = np.cumsum(size[plain]) - size[plain]
+        begin[rest] = size[plain].sum() + np.cumsum(size[rest]) - size[rest]
+        return np.concatenate([*parts, *alone] or [np.zeros(0, np.uint32)]), begin, size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids before each text)."""
         starts = unit_starts(data, offsets)
-        ends = np.append(starts[1:], len(data))
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        _, first, unit = np.unique(hash_segments(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self._new) > CACHE_UNITS:
-            self._old, self._new = self._new, {}
-        raw = data.tobytes()
-        out = [self._ids(raw[s:e]) for s, e in zip(starts[first].tolist(), ends[first].tolist())]
-        size = np.array([len(x) for x in out], np.int64)
-        pool, begin = np.concatenate(out), np.cumsum(size) - size
+        units, unit = distinct_units(data, starts)
+        pool, begin, size = self._ids(units)
         n = size[unit]
         end = np.cumsum(n)
         ids = pool[np.repeat(begin[unit] - (end - n), n) + np.arange(end[-1])]
         return ids, np.concatenate([[0], end])[np.searchsorted(starts, offsets)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder_of(name: str) -> Encoder:
     """A worker's encoder, which its tasks share."""
     return Encoder(name)
