@@ -7,6 +7,32 @@ import json
 import numpy as np
 
 _BLOCK = 1 << 15
+_EACH = np.uint64(0x0101010101010101)
+_TOPS = np.uint64(0x8080808080808080)
+
+
+def _in_byte() -> np.ndarray:
+    """Place of the j-th one of each byte value, by 256 * j + value."""
+    bit = np.arange(256)[:, None] >> np.arange(8) & 1
+    rank = np.cumsum(bit, axis=1) - bit
+    out = np.zeros((8, 256), np.uint8)
+    value, place = np.nonzero(bit)
+    out[rank[value, place], value] = place
+    return out.ravel()
+
+
+_IN_BYTE = _in_byte()
+
+
+def _select_in_word(bits: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Place of the one with ``left`` ones below it in each word: its byte by running byte counts, then a table."""
+    counts = bits - (bits >> np.uint64(1) & np.uint64(0x5555555555555555))
+    counts = (counts & np.uint64(0x3333333333333333)) + (counts >> np.uint64(2) & np.uint64(0x3333333333333333))
+    counts = ((counts + (counts >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _EACH
+    # A top bit stays where a byte's running count isn't over left.
+    by = np.bitwise_count(((left * _EACH | _TOPS) - counts) & _TOPS).astype(np.uint64) << np.uint64(3)
+    inner = left - ((counts << np.uint64(8)) >> by & np.uint64(0xFF))
+    return (by + _IN_BYTE[inner << np.uint64(8) | (bits >> by & np.uint64(0xFF))]).astype(np.int64)
 
 
 class EliasFano:
@@ -30,10 +56,15 @@ class EliasFano:
         rank = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))[:-1]]).astype(np.uint32)
         low = np.zeros(-(-n * low_bits // 64) + 1, np.uint64)
         if low_bits:
-            places = np.arange(low_bits, dtype=np.uint64)
-            packed = [np.packbits(((values[i : i + _BLOCK, None] >> places) & np.uint64(1)).astype(np.uint8), bitorder="little") for i in range(0, n, _BLOCK)]
-            raw = np.concatenate(packed or [np.zeros(0, np.uint8)])
-            low.view(np.uint8)[: len(raw)] = raw
+            part = values & np.uint64((1 << low_bits) - 1)
+            bit = np.arange(n, dtype=np.int64) * low_bits
+            word, by = bit >> 6, (bit & 63).astype(np.uint64)
+            # Values that begin in one word are next to each other; their bits don't meet, so sums are unions.
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            if n:
+                low[word[first]] = np.add.reduceat(part << by, first)
+            over = np.flatnonzero((bit & 63) + low_bits > 64)
+            low[word[over] + 1] |= part[over] >> (np.uint64(64) - by[over])
         return {"meta": np.array([n, low_bits], np.int64), "high": high, "rank": rank, "low": low}
 
     @classmethod
@@ -46,19 +77,10 @@ class EliasFano:
         base = self.rank if ones else self._zeros
         for at in range(0, len(i), _BLOCK):
             part = i[at : at + _BLOCK]
-            word = np.searchsorted(base, part, "right") - 1
-            left = part - base[word].astype(np.int64)
+            word = np.searchsorted(base, part.astype(base.dtype), "right") - 1
+            left = (part - base[word].astype(np.int64)).astype(np.uint64)
             bits = self.high[word] if ones else ~self.high[word]
-            # Halve the word six times towards the wanted bit.
-            place = np.zeros(len(part), np.uint64)
-            for width in (32, 16, 8, 4, 2, 1):
-                half = bits & np.uint64((1 << width) - 1)
-                inside = np.bitwise_count(half).astype(np.int64)
-                right = left >= inside
-                left = np.where(right, left - inside, left)
-                bits = np.where(right, bits >> np.uint64(width), half)
-                place += np.where(right, np.uint64(width), np.uint64(0))
-            out[at : at + _BLOCK] = word * 64 + place.astype(np.int64)
+            out[at : at + _BLOCK] = (word << 6) + _select_in_word(bits, left)
         return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -78,6 +100,19 @@ class EliasFano:
         high = (self._select(i, True) - i).astype(np.uint64)
         return high << np.uint64(self.low_bits) | self._low(i)
 
+    def ranges(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at places i and i + 1; the second is the next one of the unary bits, mostly in the same word."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = self._select(i, True)
+        rest = self.high[at >> 6] >> (at & 63).astype(np.uint64) >> np.uint64(1)
+        after = at + 1 + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))
+        far = np.flatnonzero(rest == 0)
+        after[far] = self._select(i[far] + 1, True)
+        low, high = (at - i).astype(np.uint64) << np.uint64(self.low_bits), (after - i - 1).astype(np.uint64) << np.uint64(self.low_bits)
+        return (low | self._low(i)).astype(np.int64), (high | self._low(i + 1)).astype(np.int64)
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the first value that isn't below each x, whether it is x); the length where there is none."""
         x = np.asarray(x, np.uint64)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import chunks, keep, mix, shared_folder, words
+from tidelog.llm.common import chunks, give_back, keep, mix, shared_folder, words
 from tidelog.llm.elias_fano import EliasFano, from_buffer, named, part, to_bytes
 
 ADD = 0.1
@@ -140,6 +140,15 @@ class Model:
                 count[run][known] = level["count"][place[known]]
         return number, count
 
+    def chances(self, number: np.ndarray) -> np.ndarray:
+        """Unigram estimates of word numbers; -1 is a word that isn't known."""
+        first, back = distinct(np.maximum(number, -1) + 1)
+        own = number[first].astype(np.int64)
+        count, skip = np.zeros(len(own), np.int64), int(len(own) > 0 and own[0] < 0)
+        for shard, run in self.unigrams.split(own[skip:]):
+            count[skip:][run] = self.unigrams.arrays(shard)["count"][own[skip:][run] - self.unigrams.first[shard]]
+        return ((count + ADD) / (self.tokens + ADD * (self.types + 1)))[back]
+
     def successors(self, shards: Shards, starts: np.ndarray, context: np.ndarray, value: np.ndarray):
         """For pairs sorted by context: (place in its level or -1, place in its context, share, what the context leaves).
 
@@ -153,10 +162,11 @@ class Model:
             level = shards.arrays(s) if b > a else None
             if level is None:
                 continue
-            own, inverse = np.unique(context[a:b] - starts[s], return_inverse=True)
+            run = np.diff(context[a:b], prepend=-1) != 0
+            own, inverse = context[a:b][run] - starts[s], np.cumsum(run) - 1
             inside = own < level["pointer"].n - 1
             own = np.where(inside, own, 0)
-            low, high = level["pointer"].access(own).astype(np.int64), level["pointer"].access(own + 1).astype(np.int64)
+            low, high = level["pointer"].ranges(own)
             high = np.where(inside, high, low)
             base = np.zeros(len(own), np.uint64)
             base[low > 0] = level["next"].access(low[low > 0] - 1)
@@ -197,39 +207,61 @@ def _pairs(number: np.ndarray, before: np.ndarray, start: int) -> np.ndarray:
     return left
 
 
-def _numbered(model: Model, data, offsets):
-    token, before = tokens(data, offsets)
-    distinct, inverse = np.unique(token, return_inverse=True)
-    number, count = model.numbers(distinct)
-    return number[inverse], count[inverse], before
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of one of each distinct key in order, the way back); keys must not be negative."""
+    order = np.argsort(keys)
+    line = keys[order]
+    new = np.ones(len(line), bool)
+    new[1:] = line[1:] != line[:-1]
+    back = np.empty(len(line), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
+def numbered(docs: DataFrame, model: Model, columns: tuple[str, ...]) -> DataFrame:
+    """``columns`` of each row with its tokens' numbers (32-bit, or 64 if there are too many words), ``n_known`` and ``base_score``.
+
+    Texts are read for the last time here; bigrams, trigrams and scores come from the numbers.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = _number_type(model)
+        for rows, data, offsets in chunks(batches, limit=CHUNK):
+            token, before = tokens(data, offsets)
+            first, back = distinct(token)
+            number, count = model.numbers(token[first])
+            known, base = (count > 0)[back], np.log10((count + ADD) / (model.tokens + ADD * (model.types + 1)))[back]
+            raw = pa.py_buffer(number[back].astype(kind).tobytes())
+            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows.num_rows, [None, pa.py_buffer((before * kind.itemsize).astype(np.int64).tobytes()), raw])
+            text = np.repeat(np.arange(rows.num_rows), np.diff(before))
+            yield pa.RecordBatch.from_arrays(
+                [*(rows.column(c) for c in columns), blobs.cast(pa.binary()), pa.array(np.bincount(text, known, rows.num_rows).astype(np.int64)), pa.array(np.bincount(text, base, rows.num_rows))], [*columns, "numbers", "n_known", "base_score"]
+            )
+
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
+    return docs.select("text", *columns).mapInArrow(run, f"{kinds}numbers binary, n_known bigint, base_score double")
+
+
+def _number_type(model: Model) -> np.dtype:
+    return np.dtype("<i4" if model.types < (1 << 31) - 1 else "<i8")
 
 
-def _unique_pairs(context: np.ndarray, value: np.ndarray, width: int):
-    """(indexes that stand for each distinct pair in order, and the way back); values have at most ``width`` bits."""
-    pair = context.astype(np.uint64) << np.uint64(width) | value.astype(np.uint64)
-    _, first, back = np.unique(pair, return_index=True, return_inverse=True)
-    return first, back
+def _numbers(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of numbered rows: (rows, numbers end to end, numbers before each row)."""
+    kind = _number_type(model)
+    for rows, data, offsets in chunks(batches, "numbers", CHUNK):
+        yield rows, data.view(kind) if len(data) % kind.itemsize == 0 and data.flags.c_contiguous else np.frombuffer(data.tobytes(), kind), offsets // kind.itemsize
 
 
 def _bigrams_of(model: Model, left: np.ndarray, number: np.ndarray):
-    """(node, relative place, share, rest) of each token after its left neighbour; unknown ones have none."""
-    node, relative = np.full(len(number), -1, np.int64), np.zeros(len(number), np.int64)
-    share, rest = np.zeros(len(number)), np.ones(len(number))
-    some = np.flatnonzero(left >= 0)
-    # An unknown word under a known context has a number that no level holds.
-    value = np.where(number[some] >= 0, number[some], (1 << 32) - 2)
-    first, back = _unique_pairs(left[some], value, 32)
-    got = model.bigram(left[some][first], value[first])
-    for out, x in zip((node, relative, share, rest), got):
-        out[some] = x[back]
-    return node, relative, share, rest
-
-
-def _trigram_keys(model: Model, node: np.ndarray, relative: np.ndarray, before: np.ndarray):
-    """(token places, context nodes, values) of trigrams whose two bigrams are kept: fewer occurrences can't be kept either."""
-    context = _pairs(node, before, -1)
-    some = np.flatnonzero((context >= 0) & (node >= 0))
-    return some, context[some], relative[some]
+    """(first of each distinct pair of a token and its left neighbour, the way back, node, relative place, share, rest of each pair); unknown ones have none."""
+    # An unknown word under a known context has a number that no level holds; so has an unknown context.
+    wide = np.uint64(model.types + 2).item().bit_length()
+    value = np.where(number >= 0, number, model.types + 1).astype(np.uint64)
+    context = np.where(left >= 0, left, model.types + 1).astype(np.uint64)
+    first, back = distinct(context << np.uint64(wide) | value)
+    node, relative, share, rest = model.bigram(context[first].astype(np.int64), value[first])
+    return first, back, node, relative, share, rest
 
 
 def _emit(pending_keys, pending_counts, cut) -> Iterator[pa.RecordBatch]:
@@ -241,13 +273,19 @@ def _emit(pending_keys, pending_counts, cut) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["shard", "keys", "counts"])
 
 
-def _count(docs: DataFrame, keys_of, cut) -> DataFrame:
-    """Keys with counts of all texts, summed in tasks and handed on by shard as blobs."""
+def _counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def _count(parts: Callable[[Iterable[pa.RecordBatch]], Iterator[np.ndarray]], rows: DataFrame, cut) -> DataFrame:
+    """Keys with counts of all rows, summed in tasks and handed on by shard as blobs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, n = [], [], 0
-        for _, data, offsets in chunks(batches, limit=CHUNK):
-            k, c = np.unique(keys_of(data, offsets), return_counts=True)
+        for part_ in parts(batches):
+            k, c = _counts(part_)
             keys.append(k)
             counts.append(c)
             n += len(k)
@@ -255,18 +293,28 @@ def _count(docs: DataFrame, keys_of, cut) -> DataFrame:
                 yield from _emit(keys, counts, cut)
                 n = 0
         yield from _emit(keys, counts, cut)
+        give_back()
 
-    return docs.select("text").mapInArrow(run, "shard int, keys binary, counts binary")
+    return rows.mapInArrow(run, "shard int, keys binary, counts binary")
 
 
-def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [_unplanes(k, np.uint64) for k in table.column("keys").to_pylist()]
-    counts = [np.diff(_unplanes(c, np.uint64), prepend=np.uint64(0)).astype(np.int64) for c in table.column("counts").to_pylist()]
-    return merge(keys, counts)
+def _gathered(batches: Iterable[pa.RecordBatch]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(shard, keys, counts) of a shard's blobs, merged as they come: what is held grows with the distinct keys, not with the blobs."""
+    keys, counts, pending, shard = [], [], 0, -1
+    for batch in batches:
+        for s, k, c in zip(*(batch.column(n).to_pylist() for n in ("shard", "keys", "counts"))):
+            shard = s
+            keys.append(_unplanes(k, np.uint64))
+            counts.append(np.diff(_unplanes(c, np.uint64), prepend=np.uint64(0)).astype(np.int64))
+            pending += len(keys[-1])
+            if pending >= max(GATHER, len(keys[0])) and len(keys) > 1:
+                k, c = merge(keys, counts)
+                keys, counts, pending = [k], [c], 0
+    return (shard, *merge(keys, counts))
 
 
 def _level(context: np.ndarray, value: np.ndarray, count: np.ndarray, total: np.ndarray, contexts: int) -> dict[str, np.ndarray]:
-    """Arrays of a level from sorted n-grams: pointers, successors relative to their context, shares, rests and counts.
+    """Arrays of a level from sorted n-grams: pointers, successors relative to their context, shares and rests.
 
     ``total`` is each n-gram's context total; only n-grams that are kept are given.
     """
@@ -281,18 +329,42 @@ def _level(context: np.ndarray, value: np.ndarray, count: np.ndarray, total: np.
     base = np.cumsum(last) - last
     following = base[context] + value
     span = int(following[-1]) + 1 if len(following) else 1
-    out = {"span": np.array([span], np.int64), "share": share, "rest": encode_share(np.maximum(left, 1e-9)), "count": count.astype(np.uint32)}
+    out = {"span": np.array([span], np.int64), "share": share, "rest": encode_share(np.maximum(left, 1e-9))}
     return out | named(EliasFano.build(pointer, int(pointer[-1]) + 1), "pointer") | named(EliasFano.build(following, span), "next")
 
 
+def _small_counts(count: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as bytes, with a list of those that don't fit: most n-grams occur a few times."""
+    large = np.flatnonzero(count >= 255)
+    return {"count": np.minimum(count, 255).astype(np.uint8), "large": large, "large_count": count[large].astype(np.int64)}
+
+
+def _counts_of(level: dict) -> np.ndarray:
+    out = level["count"].astype(np.int64)
+    out[level["large"]] = level["large_count"]
+    return out
+
+
+def _narrow(count: np.ndarray) -> np.ndarray:
+    return count.astype(np.uint32 if count.max(initial=0) < 1 << 32 else np.uint64)
+
+
 def train(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
     """Learn from all whole texts of ``docs(text)``; null texts count as empty, an empty table gives a model without words.
 
     Bigrams and trigrams from ``min_count`` occurrences on are kept; 1 keeps all.
-
-    Three passes count words, bigrams and trigrams; each sums in tasks, goes to
-    its shard once, and is written there as a level.
+    Counts are 64-bit. Word numbers are 32-bit up to 2^31 words, else 64-bit;
+    a bigram's key has the bits of two word numbers, and a trigram's those of
+    a bigram's number and of the most successors of one word. ValueError is
+    raised if either is over 64 bits, before anything is counted for it.
     """
+    model = _unigrams(docs, min_count)
+    _grow(model, numbered(docs, model, ()), min_count)
+    return model
+
+
+def _unigrams(docs: DataFrame, min_count: int) -> Model:
+    """The model's words: counted in tasks, sent to their shard once and written there as a level."""
     spark = docs.sparkSession
     folder = shared_folder(spark) + "-lm"
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -304,18 +376,25 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
         at = np.searchsorted((keys >> np.uint64(64 - bits)).astype(np.int64), np.arange(shards + 1))
         return ((s, int(at[s]), int(at[s + 1])) for s in range(shards) if at[s + 1] > at[s])
 
-    def write_words(table: pa.Table) -> pa.Table:
-        keys, counts = _gathered(table)
+    def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys, counts = _gathered(batches)
         words_ = EliasFano.build(keys & np.uint64((1 << 64 - bits) - 1), 1 << 64 - bits)
-        name = _write(folder, "words", {"count": counts.astype(np.uint32)} | named(words_, "words"))
-        return _told(table, name, len(keys), int(counts.sum()))
+        name = _write(folder, "words", {"count": _narrow(counts)} | named(words_, "words"))
+        yield _told(shard, name, len(keys), int(counts.sum()))
 
-    told = "shard int, name string, n bigint, total bigint"
-    seen = _count(docs, lambda d, o: tokens(d, o)[0], by_hash)
-    made = keep(seen.groupBy("shard").applyInArrow(write_words, told)).collect()
+    hashes = lambda batches: (tokens(d, o)[0] for _, d, o in chunks(batches, limit=CHUNK))
+    made = keep(_count(hashes, docs.select("text"), by_hash).groupBy("shard").applyInArrow(write_words, _TOLD)).collect()
     unigrams, types = _shards(folder, made, shards)
-    model = Model(bits, unigrams, sum(r.total for r in made), types)
-    start = types  # the head of a text is a context with a number after all words
+    return Model(bits, unigrams, sum(r.total for r in made), types)
+
+
+def _grow(model: Model, rows: DataFrame, min_count: int) -> None:
+    """Add the bigram and trigram levels of numbered ``rows``; each is counted in tasks, goes to its shard once, and is written there."""
+    folder, unigrams, start = model.unigrams.folder, model.unigrams, model.types  # a text's head is a context with a number after all words
+    rows, shards = rows.select("numbers"), 1 << model.bits
+    wide = (model.types + 2).bit_length()
+    if 2 * wide > 64:
+        raise ValueError("too many words for one model; raise the widths of the keys")
 
     def by_context(first: np.ndarray, low: int):
         def cut(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -324,52 +403,53 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
 
         return cut
 
-    def bigram_keys(data, offsets) -> np.ndarray:
-        number, _, before = _numbered(model, data, offsets)
-        left = _pairs(number, before, start)
-        return left.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)
+    def bigram_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, number, before in _numbers(batches, model):
+            yield _pairs(number, before, start).astype(np.uint64) << np.uint64(wide) | number.astype(np.uint64)
 
-    def write_bigrams(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        keys, counts = _gathered(table)
+    def write_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys, counts = _gathered(batches)
         lo = int(unigrams.first[shard])
-        context, value = (keys >> np.uint64(32)).astype(np.int64) - lo, keys & np.uint64(0xFFFFFFFF)
+        context, value = (keys >> np.uint64(wide)).astype(np.int64) - lo, keys & np.uint64((1 << wide) - 1)
         contexts = int(context[-1]) + 1
         total = np.bincount(context, counts, contexts)
         kept = counts >= min_count
-        level = _level(context[kept], value[kept], counts[kept], total[context[kept]], contexts)
-        return _told(table, _write(folder, "bigrams", level), int(kept.sum()), int(np.bincount(context[kept]).max(initial=0)))
+        level = _level(context[kept], value[kept], counts[kept], total[context[kept]], contexts) | _small_counts(counts[kept])
+        yield _told(shard, _write(folder, "bigrams", level), int(kept.sum()), int(np.bincount(context[kept]).max(initial=0)))
 
-    made = keep(_count(docs, bigram_keys, by_context(unigrams.first, 32)).groupBy("shard").applyInArrow(write_bigrams, told)).collect()
+    made = keep(_count(bigram_keys, rows, by_context(unigrams.first, wide)).groupBy("shard").applyInArrow(write_bigrams, _TOLD)).collect()
     model.bigrams, nodes = _shards(folder, made, shards)
     model.rel = rel = max(1, max((r.total for r in made), default=0).bit_length())
-
-    def trigram_keys(data, offsets) -> np.ndarray:
-        number, _, before = _numbered(model, data, offsets)
-        node, relative, _, _ = _bigrams_of(model, _pairs(number, before, start), number)
-        _, context, value = _trigram_keys(model, node, relative, before)
-        return context.astype(np.uint64) << np.uint64(rel) | value.astype(np.uint64)
-
-    def write_trigrams(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        keys, counts = _gathered(table)
+    if nodes.bit_length() + rel > 64:
+        raise ValueError("too many bigrams for one model; raise the widths of the keys")
+
+    def trigram_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, number, before in _numbers(batches, model):
+            _, back, node, relative, _, _ = _bigrams_of(model, _pairs(number, before, start), number)
+            context, node = _pairs(node[back], before, -1), node[back]
+            # Fewer occurrences than those of both its bigrams can't be kept either.
+            some = np.flatnonzero((context >= 0) & (node >= 0))
+            yield context[some].astype(np.uint64) << np.uint64(rel) | relative[back[some]].astype(np.uint64)
+
+    def write_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys, counts = _gathered(batches)
         lo = int(model.bigrams.first[shard])
         context, value = (keys >> np.uint64(rel)).astype(np.int64) - lo, keys & np.uint64((1 << rel) - 1)
         kept = counts >= min_count
         context, value, counts = context[kept], value[kept], counts[kept]
-        bigrams = model.bigrams.arrays(shard)["count"]
-        level = _level(context, value, counts, bigrams[context].astype(np.int64), len(bigrams))
-        return _told(table, _write(folder, "trigrams", level), len(counts), 0)
+        bigrams = _counts_of(model.bigrams.arrays(shard))
+        level = _level(context, value, counts, bigrams[context], len(bigrams))
+        yield _told(shard, _write(folder, "trigrams", level), len(counts), 0)
 
-    if max(types + 1, 1) >= 1 << 32 or nodes >= 1 << 64 - rel:
-        raise ValueError("too many words for one model; raise the widths of the keys")
-    made = keep(_count(docs, trigram_keys, by_context(model.bigrams.first, rel)).groupBy("shard").applyInArrow(write_trigrams, told)).collect()
+    made = keep(_count(trigram_keys, rows, by_context(model.bigrams.first, rel)).groupBy("shard").applyInArrow(write_trigrams, _TOLD)).collect()
     model.trigrams, _ = _shards(folder, made, shards)
-    return model
 
 
-def _told(table: pa.Table, name: str, n: int, total: int) -> pa.Table:
-    return pa.table({"shard": table.column("shard")[:1].cast(pa.int32()), "name": pa.array([name]), "n": pa.array([n], pa.int64()), "total": pa.array([total], pa.int64())})
+_TOLD = "shard int, name string, n bigint, total bigint"
+
+
+def _told(shard: int, name: str, n: int, total: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": pa.array([name]), "n": pa.array([n], pa.int64()), "total": pa.array([total], pa.int64())})
 
 
 def _shards(folder: str, made: list, shards: int) -> tuple[Shards, int]:
@@ -381,45 +461,51 @@ def _shards(folder: str, made: list, shards: int) -> tuple[Shards, int]:
 
 def scored(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` of each row of ``docs`` with ``n_tokens, n_known, train_tokens, base_score, score``."""
+    return _scored(numbered(docs, model, columns), model, columns)
+
 
+def _scored(rows: DataFrame, model: Model, columns: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in chunks(batches, limit=CHUNK):
-            number, count, before = _numbered(model, data, offsets)
-            text = np.repeat(np.arange(rows.num_rows), np.diff(before))
-            base = (count + ADD) / (model.tokens + ADD * (model.types + 1))
-            p = base
-            if model.bigrams is not None and model.types:
-                node, relative, share, rest = _bigrams_of(model, _pairs(number, before, model.types), number)
-                p = share + rest * p
-                p = _with_trigrams(model, node, relative, before, p)
-            add = lambda x: np.bincount(text, x, rows.num_rows)
+        for part_, number, before in _numbers(batches, model):
+            n = np.diff(before)
+            text = np.repeat(np.arange(part_.num_rows), n)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(rows.column(c) for c in columns),
-                    pa.array(np.diff(before), pa.int64()),
-                    pa.array(add(count > 0).astype(np.int64)),
-                    pa.array(np.full(rows.num_rows, model.tokens), pa.int64()),
-                    pa.array(add(np.log10(base))),
-                    pa.array(add(np.log10(p))),
+                    *(part_.column(c) for c in columns),
+                    pa.array(n, pa.int64()),
+                    part_.column("n_known"),
+                    pa.array(np.full(part_.num_rows, model.tokens), pa.int64()),
+                    part_.column("base_score"),
+                    pa.array(np.bincount(text, _log_scores(model, number, before), part_.num_rows)),
                 ],
                 [*columns, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
-
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
-    return docs.select("text", *columns).mapInArrow(run, f"{kinds}n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-
-
-def _with_trigrams(model: Model, node: np.ndarray, relative: np.ndarray, before: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Probabilities with the trigram level on top; a context that is kept takes its part even from tokens it hasn't seen."""
-    context = _pairs(node, before, -1)
-    some = np.flatnonzero(context >= 0)
-    # A token that doesn't follow its left neighbour in the model can't follow both.
-    value = np.where(node[some] >= 0, relative[some], (1 << model.rel) - 1)
-    first, back = _unique_pairs(context[some], value, model.rel)
-    _, _, share, rest = model.trigram(context[some][first], value[first])
-    out = p.copy()
-    out[some] = share[back] + rest[back] * p[some]
-    return out
+        give_back()
+
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in columns)
+    return rows.mapInArrow(run, f"{kinds}n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+def _log_scores(model: Model, number: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """log10 probability of each token; what is the same for equal pairs and triples is computed once for each."""
+    if not len(number):
+        return np.zeros(0)
+    if model.bigrams is None or not model.types:
+        return np.log10(model.chances(number))
+    first, back, node, relative, share, rest = _bigrams_of(model, _pairs(number, before, model.types), number)
+    p = share + rest * model.chances(number[first])
+    # A context that is kept takes its part even from tokens it hasn't seen; a token that
+    # doesn't follow its left neighbour in the model can't follow both.
+    value = np.where(node >= 0, relative, (1 << model.rel) - 1)
+    context, some = _pairs(node[back], before, -1), back
+    under = np.flatnonzero(context >= 0)
+    triple, to = distinct(context[under].astype(np.uint64) << np.uint64(model.rel) | value[back[under]].astype(np.uint64))
+    one = under[triple]
+    _, _, share, rest = model.trigram(context[one], value[back[one]])
+    # Unseen last words of a context share a key but not their lower-order chance.
+    out = p[some]
+    out[under] = share[to] + rest[to] * out[under]
+    return np.log10(out)
 
 
 def held_out() -> "F.Column":
@@ -434,5 +520,8 @@ def score_documents(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     Repeated rows count and are scored each.
     """
     rows = docs.select("doc_id", "text").withColumn("held_out", held_out())
-    model = train(rows.where(~F.col("held_out")), min_count)
-    return scored(rows, model, ("doc_id", "held_out"))
+    model = _unigrams(rows.where(~F.col("held_out")), min_count)
+    columns = ("doc_id", "held_out")
+    known = keep(numbered(rows, model, columns), compression="zstd")
+    _grow(model, known.where(~F.col("held_out")), min_count)
+    return _scored(known, model, columns)
