@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import keep
 
 
+#: Parts into which the neighbours of a node are dealt, so that a node with a large share of all links isn't one task's.
+SALTS = 8
+
+
+def _to_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """``rows(u, v)`` with the ``m`` of their ``u``; neighbours of one node are dealt over several tasks."""
+    salted = rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    return salted.join(least.withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["u", "s"])
+
+
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     """Link neighbours to the least of a node's neighbourhood: the larger ones, or the smaller ones and the node."""
     if larger:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        linked = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        linked = _to_least(both.where("v > u"), least).select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
         down = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        linked = down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        linked = _to_least(down, least).select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
     return linked.where("a < b").distinct()
 
 
@@ -35,5 +45,5 @@ def components(links: DataFrame) -> DataFrame:
         seen = ends.groupBy("u").agg(F.sum("up").alias("up"), F.min("up").alias("root"))
         if seen.where("up > 1 OR (up > 0 AND root = 0)").isEmpty():
             break
-        edges = keep(_stars(_stars(edges, True), False))
+        edges = keep(_stars(_stars(edges, True), False), edges)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

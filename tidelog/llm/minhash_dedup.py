@@ -5,7 +5,8 @@ least of exponential variables of the shingles on an exponentially spaced
 scale, truncated to a byte. Registers of a union are the larger ones, and equal
 registers are the likelier the more alike two sets are. Bands of registers
 give candidates, the joint likelihood of a pair's register comparisons drops
-hopeless ones, and the rest is decided on the full sets.
+hopeless ones, and the rest is decided on the full sets. Only likely pairs
+make sets a family, so texts meet no others than those that may be alike.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tidelog.llm.common import chunks, distinct_per_text, keep, mix, sent_if_few, shingles, words
 from tidelog.llm.components import components
@@ -33,8 +36,12 @@ LARGEST = 20.0
 SLACK = 20.0
 #: Text bytes that are sketched at a time.
 CHUNK = 2 << 20
-#: Sets of a family that are compared as one block.
-BLOCK = 64
+#: Most sets of a family whose pairs one task compares, and sets of a block of larger ones.
+BLOCK = 128
+#: Most sets of a bucket whose sketches one task compares, and sets of a block of larger ones.
+CROWD = 1024
+#: Shingles that a task is to hold, if a family doesn't have more.
+HELD = 1 << 21
 
 
 def sketch(values: np.ndarray, before: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -109,14 +116,28 @@ def likelihood(up: np.ndarray, down: np.ndarray, equal: np.ndarray, u: np.ndarra
 
 def odds(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, threshold: float) -> np.ndarray:
     """Most likely similarity of pairs of sketches; minus infinity where size or likelihood ratio excludes the threshold."""
-    up, down = (left > right).sum(axis=1), (left < right).sum(axis=1)
-    equal = left.shape[1] - up - down
+    out = np.full(len(left), -np.inf)
+    equal, registers = (left == right).sum(axis=1), left.shape[1]
+    # Most pairs are far too unlike; so few equal registers have a probability under 1e-10 at the threshold.
+    least = _equal(threshold) * registers
+    sized = np.minimum(n_left, n_right) >= (threshold - 1e-9) * np.maximum(n_left, n_right)
+    some = np.flatnonzero(sized & (equal >= least - 6.5 * math.sqrt(least * (1 - least / registers))))
+    left, right, n_left, n_right, equal = left[some], right[some], n_left[some], n_right[some], equal[some]
+    if not len(some):
+        return out
+    up = (left > right).sum(axis=1)
+    down = registers - up - equal
     u = n_left / (n_left + n_right)
     grid = [likelihood(up, down, equal, u, 1 - u, j) for j in np.linspace(0, 1, 41)]
     at = likelihood(up, down, equal, u, 1 - u, threshold)
     best = np.argmax(grid, axis=0) / 40
-    sized = np.minimum(n_left, n_right) >= (threshold - 1e-9) * np.maximum(n_left, n_right)
-    return np.where(sized & ((best >= threshold) | (np.max(grid, axis=0) - at <= SLACK)), best, -np.inf)
+    out[some] = np.where((best >= threshold) | (np.max(grid, axis=0) - at <= SLACK), best, -np.inf)
+    return out
+
+
+def _equal(similarity: float) -> float:
+    """Least probability that a register of two sets of that similarity is equal: where one set holds the other."""
+    return 1 + math.log1p(-(1 - similarity) * (BASE - 1) / BASE) / math.log(BASE)
 
 
 def sketched(docs: DataFrame, width: int = 5, registers: int = REGISTERS) -> DataFrame:
@@ -127,7 +148,7 @@ def sketched(docs: DataFrame, width: int = 5, registers: int = REGISTERS) -> Dat
             values, before = distinct_per_text(*shingles(*words(data, offsets), width))
             n = np.diff(before)
             made = sketch(values, before, registers)
-            digest = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(before[:-1].tolist(), before[1:].tolist())]
+            digest = _digests(values, before)
             bytes_ = [made[i].tobytes() if n[i] else None for i in range(len(n))]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bytes_, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
 
@@ -136,31 +157,100 @@ def sketched(docs: DataFrame, width: int = 5, registers: int = REGISTERS) -> Dat
 
 
 def band_of(percent: int, registers: int = REGISTERS) -> int:
-    """The longest band that keeps to MISS, or a single register; registers are the least often equal where one set holds the other."""
-    same = 1 + math.log1p(-(1 - percent / 100) * (BASE - 1) / BASE) / math.log(BASE)
+    """The longest band that keeps to MISS, or a single register."""
+    same = _equal(percent / 100)
     return next((b for b in range(BAND, 1, -1) if (1 - same**b) ** (registers // b) <= MISS), 1)
 
 
-def families(sets: DataFrame, registers: int = REGISTERS, band: int = BAND) -> DataFrame:
-    """``(rep, family)`` of all sets that share a band with another: sets of one bucket, and what they share buckets with, are one family."""
-    spots = F.sequence(F.lit(0), F.lit(registers // band - 1))
-    keys = F.transform(spots, lambda i: F.xxhash64(i, F.substr(F.col("sketch"), i * band + 1, F.lit(band))))
-    rows = sets.select("rep", F.explode(keys).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("bucket", "hub")
-    pairs = rows.join(shared, "bucket").where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    return components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+def _dealt(rows: DataFrame, group: str, item: str, most: int, weight: str | None = None) -> DataFrame:
+    """``rows`` with ``cell`` and ``side``: groups of up to ``most`` items lie several in a cell; blocks of larger ones meet pairwise, one pair a cell.
 
+    ``rows`` has the group's number of items in ``size``.
+    """
+    small = rows.where(F.col("size") <= most)
+    have = small.agg(F.count(F.lit(1)), F.sum(weight) if weight else F.lit(0)).first()
+    cells = max(1, -(-have[0] // (2 * most)), -(-int(have[1] or 0) // HELD))
+    together = small.withColumn("cell", F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64(group), F.lit(cells)))).withColumn("side", F.lit(0))
+    blocks = F.ceil(F.col("size") / most).cast("int")
+    large = rows.where(F.col("size") > most).withColumn("m", F.pmod(F.xxhash64(item), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    meet = large.withColumn("cell", F.concat_ws(":", F.lit("l"), group, F.least("m", "o"), F.greatest("m", "o"))).withColumn("side", (F.col("m") > F.col("o")).cast("int"))
+    return together.unionByName(meet.drop("m", "o"))
 
-def _dealt(family: DataFrame) -> DataFrame:
-    """``(cell, side, family, rep)``: families of a block or less lie several in a cell; blocks of larger ones meet pairwise, one pair a cell."""
-    size = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    sized = family.join(size, "family")
-    cells = F.greatest(F.lit(1), F.ceil(F.lit(size.where(F.col("size") <= BLOCK).agg(F.sum("size")).first()[0] or 1) / (2 * BLOCK)))
-    small = sized.where(F.col("size") <= BLOCK).select(F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("family"), cells)).alias("cell"), F.lit(0).alias("side"), "family", "rep")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = sized.where(F.col("size") > BLOCK).withColumn("m", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    meet = large.select(F.concat_ws(":", F.lit("l"), "family", F.least("m", "o"), F.greatest("m", "o")).alias("cell"), (F.col("m") > F.col("o")).cast("int").alias("side"), "family", "rep")
-    return small.unionByName(meet)
+
+class _Forest:
+    """Links that join what isn't joined yet."""
+
+    def __init__(self, n: int, roots: np.ndarray | None = None):
+        self.parent, self.links = list(range(n)), []
+        if roots is not None:
+            first: dict = {}
+            self.parent = [first.setdefault(r, i) for i, r in enumerate(roots.tolist())]
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def joined(self, x: int, y: int) -> bool:
+        return self.find(x) == self.find(y)
+
+    def join(self, x: int, y: int) -> None:
+        p, q = self.find(x), self.find(y)
+        if p != q:
+            self.parent[max(p, q)] = min(p, q)
+            self.links.append((x, y))
+
+
+def _links(forest: _Forest, node: np.ndarray) -> pa.Table:
+    return pa.table({c: pa.array([int(node[link[i]]) for link in forest.links], pa.int64()) for i, c in enumerate("ab")})
+
+
+def _scores(made: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    parts = [slice(i, i + 4096) for i in range(0, len(a), 4096)]
+    return np.concatenate([odds(made[a[p]], made[b[p]], n[a[p]], n[b[p]], threshold) for p in parts] or [np.zeros(0)])
+
+
+def _sketches(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+
+
+def likely(sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between classes that connect all likely pairs of them: pairs that share a band and whose joint likelihood doesn't exclude the threshold.
+
+    A bucket's sketches are compared in a task, those of a large one in
+    blocks; each task gives back a spanning forest of its likely pairs.
+    """
+    registers = F.octet_length("sketch")
+    width = band_of(percent)
+    keys = F.transform(F.sequence(F.lit(0), F.floor(registers / width).cast("int") - 1), lambda i: F.xxhash64(i, F.substr(F.col("sketch"), i * width + 1, F.lit(width))))
+    rows = sets.select("cls", F.explode(keys).alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = keep(rows.join(shared, "bucket"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("bucket", "ascending"), ("side", "ascending"), ("cls", "ascending")])
+        bucket, cls, side = (table.column(c).to_numpy() for c in ("bucket", "cls", "side"))
+        made, n = _sketches(table), table.column("n").to_numpy().astype(float)
+        distinct, node = np.unique(cls, return_inverse=True)
+        forest = _Forest(len(distinct))
+        two = bool(side.any())
+        for step in range(1, len(bucket)):
+            a = np.flatnonzero(bucket[:-step] == bucket[step:])
+            if not len(a):
+                break
+            b = a + step
+            if two:
+                a, b = a[side[a] != side[b]], b[side[a] != side[b]]
+            good = _scores(made, n, a, b, percent / 100) > -np.inf
+            # What comes first is linked first, so the links of many buckets are the same ones.
+            for x, y in zip(node[a[good]].tolist(), node[b[good]].tolist()):
+                forest.join(x, y)
+        return _links(forest, distinct)
+
+    dealt = _dealt(members, "bucket", "cls", CROWD).join(sets.select("cls", "n", "sketch"), "cls")
+    found = keep(dealt.groupBy("cell").applyInArrow(compare, "a bigint, b bigint").distinct(), members)
+    return found
 
 
 def _candidates(made: np.ndarray, family: np.ndarray, side: np.ndarray, size: int = BAND) -> tuple[np.ndarray, np.ndarray]:
@@ -182,49 +272,62 @@ def _candidates(made: np.ndarray, family: np.ndarray, side: np.ndarray, size: in
     return np.nonzero(np.triu(near, 1))
 
 
-def linked(docs: DataFrame, sets: DataFrame, family: DataFrame, percent: int, width: int = 5) -> DataFrame:
+def _alike(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return bool(both) and 100 * both >= percent * (len(one) + len(two) - both)
+
+
+def _full(table: pa.Table, width: int) -> list[np.ndarray]:
+    return [v for _, data, offsets in chunks(table.select(["text"]).combine_chunks().to_batches()) for v in _sets(data, offsets, width)]
+
+
+def linked(members: DataFrame, percent: int, width: int = 5) -> DataFrame:
     """Links ``(a, b)`` that join what full shingle sets with ``100 * intersection >= percent * union`` join, as a forest of each cell.
 
-    Pairs of a cell that share a band are tried in order of likelihood, those
-    already joined in the cell aren't tried again: what a task gives back is
-    linear in its rows, and no link between parts is lost.
+    ``members`` has ``cls, family, size, root, n, sketch, text``; classes of one
+    root are joined already. Pairs that share a band are tried in order of
+    likelihood, those joined in the cell aren't tried again: what a task gives
+    back is linear in its rows, and no link between parts is lost.
     """
-    threshold = percent / 100
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("side", "ascending"), ("rep", "ascending")])
-        rep, family_, side = (table.column(c).to_numpy() for c in ("rep", "family", "side"))
-        made = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-        n = table.column("n").to_numpy().astype(float)
-        a, b = _candidates(made, family_, side, band_of(percent, made.shape[1]))
-        score = np.concatenate([odds(made[a[i : i + 4096]], made[b[i : i + 4096]], n[a[i : i + 4096]], n[b[i : i + 4096]], threshold) for i in range(0, len(a), 4096)] or [np.zeros(0)])
-        links = []
+        table = table.sort_by([("side", "ascending"), ("cls", "ascending")])
+        cls, family, side, root = (table.column(c).to_numpy() for c in ("cls", "family", "side", "root"))
+        made, n = _sketches(table), table.column("n").to_numpy().astype(float)
+        a, b = _candidates(made, family, side, band_of(percent, made.shape[1]))
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        score = _scores(made, n, a, b, percent / 100)
+        forest = _Forest(len(cls), root)
         if (score > -np.inf).any():
-            full = [v for _, data, offsets in chunks(table.select(["text"]).to_batches()) for v in _sets(data, offsets, width)]
-            parent = list(range(len(rep)))
-
-            def find(x: int) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
+            full = _full(table, width)
             for i in np.argsort(-score, kind="stable").tolist():
                 if score[i] == -np.inf:
                     break
                 x, y = int(a[i]), int(b[i])
-                p, q = find(x), find(y)
-                if p != q:
-                    both = len(np.intersect1d(full[x], full[y], assume_unique=True))
-                    if both and 100 * both >= percent * (len(full[x]) + len(full[y]) - both):
-                        parent[max(p, q)] = min(p, q)
-                        links.append((int(rep[x]), int(rep[y])))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+                if not forest.joined(x, y) and _alike(full[x], full[y], percent):
+                    forest.join(x, y)
+        return _links(forest, cls)
 
-    wanted = sent_if_few(family.select(F.col("rep").alias("doc_id")))
-    text = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    parts = _dealt(family).join(sets.select("rep", "n", "sketch"), "rep").join(text, F.col("rep") == F.col("doc_id")).select("cell", "side", "family", "rep", "n", "sketch", "text")
-    return parts.groupBy("cell").applyInArrow(compare, "a bigint, b bigint")
+    return _dealt(members, "family", "cls", BLOCK, "n").groupBy("cell").applyInArrow(compare, "a bigint, b bigint")
+
+
+def confirmed(edges: DataFrame, texts: DataFrame, percent: int, width: int = 5) -> DataFrame:
+    """Those of ``edges(a, b)`` that hold on the full sets; a task takes some 64 edges and the texts they need."""
+    cells = max(1, -(-edges.count() // 64))
+    placed = edges.withColumn("cell", F.pmod(F.xxhash64("a", "b"), F.lit(cells)))
+    ends = placed.select("cell", F.col("a").alias("cls")).unionByName(placed.select("cell", F.col("b").alias("cls"))).distinct().join(texts, "cls")
+    rows = ends.select("cell", "cls", "text", F.lit(None).cast("bigint").alias("b")).unionByName(placed.select("cell", F.col("a").alias("cls"), F.lit(None).cast("string").alias("text"), "b"))
+
+    def check(table: pa.Table) -> pa.Table:
+        edge = table.column("b").is_valid()
+        own = table.filter(pc.invert(edge))
+        full = dict(zip(own.column("cls").to_pylist(), _full(own, width)))
+        pairs = zip(*(table.filter(edge).column(c).to_pylist() for c in ("cls", "b")))
+        good = [(x, y) for x, y in pairs if _alike(full[x], full[y], percent)]
+        return pa.table({c: pa.array([g[i] for g in good], pa.int64()) for i, c in enumerate("ab")})
+
+    return rows.groupBy("cell").applyInArrow(check, "a bigint, b bigint")
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -232,38 +335,87 @@ def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]
     return np.split(values, before[1:-1])
 
 
+def _digests(values: np.ndarray, before: np.ndarray) -> list[bytes | None]:
+    return [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(before[:-1].tolist(), before[1:].tolist())]
+
+
+def with_digest(rows: DataFrame, width: int = 5) -> DataFrame:
+    """``rows`` with ``digest``, the 128-bit digest of the row's shingle set; null where it is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in chunks(batches, limit=CHUNK):
+            digest = _digests(*distinct_per_text(*shingles(*words(data, offsets), width)))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digest, pa.binary())], [*part.schema.names, "digest"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("digest", BinaryType())]))
+
+
+def classes(docs: DataFrame, percent: int = 85, width: int = 5, registers: int = REGISTERS) -> DataFrame:
+    """``doc_id, n_shingles, digest, component`` of every row; rows without a set or an id have no component."""
+    base = keep(sketched(docs, width, registers))
+    firsts = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    sets = keep(firsts.withColumn("cls", F.monotonically_increasing_id()))
+    edges = likely(sets, percent)
+    family = components(edges).select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    size = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    member = keep(family.join(size, "family").join(sets, "cls").withColumn("root", F.col("cls")))
+    wanted = docs.select("doc_id", "text").join(sent_if_few(member.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    found = with_digest(wanted.select("text"), width).groupBy("digest").agg(F.first("text").alias("text"))
+    texts = keep(member.select("cls", "digest").join(found, "digest").select("cls", "text"))
+    small, large = member.where(F.col("size") <= BLOCK), keep(member.where(F.col("size") > BLOCK))
+    links = linked(small.join(texts, "cls"), percent, width)
+    if not large.isEmpty():
+        # The links that made a large family come first; only where they leave it in parts do its blocks meet.
+        tried = edges.join(large.select(F.col("cls").alias("a")), "a", "left_semi")
+        sure = keep(confirmed(tried, texts, percent, width))
+        roots = components(sure).select(F.col("node").alias("cls"), F.col("component").alias("to"))
+        rooted = keep(large.drop("root").join(roots, "cls", "left").withColumn("root", F.coalesce("to", "cls")).drop("to"))
+        parted = rooted.groupBy("family").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("family")
+        left = keep(rooted.join(parted, "family", "left_semi"))
+        links = links.unionByName(sure)
+        if not left.isEmpty():
+            links = links.unionByName(linked(left.join(texts, "cls"), percent, width))
+    joined = keep(components(keep(links, edges)), texts, large)
+    least = sets.select("cls", "rep").join(joined.select(F.col("node").alias("cls"), F.col("component").alias("whole")), "cls")
+    whole = least.groupBy("whole").agg(F.min("rep").alias("component"))
+    ends = sets.select("digest", "cls", "rep").join(joined.select(F.col("node").alias("cls"), F.col("component").alias("whole")), "cls", "left").join(whole, "whole", "left")
+    by_set = ends.select("digest", F.coalesce("component", "rep").alias("component"))
+    return base.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left").withColumn("component", F.when(F.col("doc_id").isNotNull(), F.col("component")))
+
+
 def deduplicate(docs: DataFrame, percent: int = 85, width: int = 5, registers: int = REGISTERS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id, text)``.
 
-    Copies with equal sets are one class, linked through its least id. Classes
-    that share buckets form families; a family is compared in blocks, each
-    giving back a spanning forest, so no link found by the bands is left out
-    and groups aren't expanded into rows of pairs. Null and empty
-    texts are linked with nothing; so are rows without an id, whose component
-    is null and which are not kept. Repeated ids share a component. An empty
-    table gives an empty one.
+    Rows with equal sets are one class. Classes that share a bucket and are
+    likely to be alike form families; a small family is compared in one task,
+    a large one by the links that made it and, where these leave it in parts,
+    in blocks. Tasks give back spanning forests, so no link found by the bands
+    is left out and groups aren't expanded into rows of pairs. Rows are linked
+    by their texts alone: rows that share an id but not a set are classes of
+    their own. Null and empty texts are linked with nothing; so are rows
+    without an id, whose component is null and which are not kept. Texts of
+    any length are whole. An empty table gives an empty one.
     """
-    base = keep(sketched(docs, width, registers))
-    sets = keep(base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    family = keep(families(sets, registers, band_of(percent, registers)))
-    found = components(linked(docs, sets, family, percent, width))
-    ends = sets.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    joined = base.select("doc_id", "n_shingles", "digest").join(ends, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return classes(docs, percent, width, registers).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 85, width: int = 5, registers: int = REGISTERS) -> DataFrame:
-    """Rows of ``docs`` with one document of each group of near-duplicates; columns stay.
+    """Rows of ``docs`` with one document of each group of near-duplicates; columns stay, whatever their names.
 
-    The document of the least id stays. Rows that share an id are one document,
-    of which one row stays; rows without an id all stay.
+    The row of the least id stays; of rows with equal ids and equal sets, one
+    does. Rows that share an id but not a set are judged each. Rows without
+    an id or without words all stay.
     """
-    found = deduplicate(docs, percent, width, registers).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
-    odd = keep(found.where("NOT _kept OR _rows > 1"))
-    single = docs.join(sent_if_few(odd.select("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
-    repeated = odd.where("_kept").select("_id")
-    if repeated.isEmpty():
-        return single
-    several = docs.join(sent_if_few(repeated), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+    judged = keep(classes(docs, percent, width, registers).where("doc_id IS NOT NULL").withColumn("kept", F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True))))
+    per_id = judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    odd = keep(per_id.where("NOT kept OR rows > 1").select(F.col("doc_id").alias("id"), "kept", "rows"))
+    rows = docs.select(F.struct("*").alias("row"))
+    single = rows.join(sent_if_few(odd.select("id")), F.col("row.doc_id") == F.col("id"), "left_anti")
+    repeated = odd.where("kept AND rows > 1").select("id")
+    if not repeated.isEmpty():
+        several = rows.join(sent_if_few(repeated), F.col("row.doc_id") == F.col("id"), "left_semi")
+        dealt = with_digest(several.select("row", F.col("row.text").alias("text")), width).withColumn("doc_id", F.col("row.doc_id"))
+        worded = dealt.where("digest IS NOT NULL").join(judged.where("kept").select("doc_id", "digest").distinct(), ["doc_id", "digest"], "left_semi")
+        single = single.unionByName(dealt.where("digest IS NULL").select("row")).unionByName(worded.dropDuplicates(["doc_id", "digest"]).select("row"))
+    return single.select("row.*")
