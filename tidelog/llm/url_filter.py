@@ -22,15 +22,16 @@ _MARK = 0xFF
 
 
 def compile_rules(rules=RULES):
-    """Masks of the automaton: byte masks (256 x words), start, first positions, self loops, finals by rule."""
+    """Masks of the automaton: byte masks (256 x words), start, first positions, self loops, finals by rule, positions from a mark to before the last, length of the longest host."""
     bits: list[tuple[int, int]] = []  # rule, symbol of each position
-    begins, ends = [], []
+    begins, ends, after = [], [], []
     for r, (host, path, _) in enumerate(rules):
         for prefix in ([], [_STAR, ord(".")]):
             glob = [*prefix, *host.encode(), _MARK, *path.encode()]
             begins.append(len(bits))
             bits += [(r, c) for c in glob]
             ends.append(len(bits) - 1)
+            after += range(begins[-1] + glob.index(_MARK), ends[-1])
     n = -(-len(bits) // 64)
     one = lambda p: np.array([1 << (p - 64 * w) if 0 <= p - 64 * w < 64 else 0 for w in range(n)], np.uint64)
     masks, start, heads, loop = np.zeros((256, n), np.uint64), *(np.zeros(n, np.uint64) for _ in range(3))
@@ -48,7 +49,8 @@ def compile_rules(rules=RULES):
             start |= one(b + 1)
     for e in ends:
         finals[bits[e][0]] |= one(e)
-    return masks, start, heads, loop, finals
+    tails = np.bitwise_or.reduce([np.zeros(n, np.uint64), *(one(p) for p in after)])
+    return masks, start, heads, loop, finals, tails, max((len(h.encode()) for h, _, _ in rules), default=0)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -69,12 +71,20 @@ def _shifted(state: np.ndarray) -> np.ndarray:
     return out
 
 
-def match(texts: list[bytes], automaton) -> np.ndarray:
-    """Whether each rule fits each text as a prefix: texts x rules. A pattern's last position stays set."""
-    masks, start, heads, loop, finals = automaton
+def match(urls: list[bytes], automaton) -> np.ndarray:
+    """Whether each rule fits each URL, given as host, mark and path: URLs x rules. A pattern's last position stays set.
+
+    Of a host that is longer than any pattern's, only a star can take the
+    beginning, so the automaton starts where the longest one may begin; a path
+    is read until no pattern can go on. So long URLs cost no more than others.
+    """
+    masks, start, heads, loop, finals, tails, longest = automaton
+    ends = [u.index(_MARK) for u in urls]
+    texts = [u[max(0, e - longest - 2) :] for u, e in zip(urls, ends)]
+    passed = np.array([min(e, longest + 2) + 1 for e in ends], np.int64)
     size = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(-size, kind="stable")
-    size = size[order]
+    size, passed = size[order], passed[order]
     data = np.frombuffer(b"".join(texts[i] for i in order), np.uint8)
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     state = np.zeros((len(texts), len(start)), np.uint64)
@@ -82,6 +92,14 @@ def match(texts: list[bytes], automaton) -> np.ndarray:
     last = np.bitwise_or.reduce(finals, axis=0)
     for at in range(int(size.max(initial=0))):
         n = int(np.searchsorted(-size, -at, "left"))  # texts longer than at
+        if at % 32 == 31:
+            # A text whose mark has passed is decided when no position between a mark and a last one is alive.
+            size[:n][(passed[:n] <= at) & ~((state[:n] & tails) != 0).any(axis=1)] = at
+            again = np.argsort(-size, kind="stable")
+            order, size, begin, state, passed = order[again], size[again], begin[again], state[again], passed[again]
+            n = int(np.searchsorted(-size, -at, "left"))
+            if not n:
+                break
         step = (_shifted(state[:n]) & ~heads) | (state[:n] & loop)
         if at == 0:
             step |= start
@@ -97,7 +115,10 @@ def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every row of ``pages(page_id, url)``.
 
     The longest fitting rule decides (host and path together; of equal ones the
-    first); without one, ``rule`` is null and the verdict is ``default``.
+    first); without one, ``rule`` is null and the verdict is ``default``. A
+    null or empty URL, or one without ``://``, has an empty host and path.
+    Rows are judged each, repeated ones and those without an id too; URLs of
+    any length are whole in the result; an empty table gives an empty one.
     """
     names = [h + p for h, p, _ in rules]
     rank = sorted(range(len(rules)), key=lambda r: (-len(names[r].encode()), r))
