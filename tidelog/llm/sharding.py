@@ -65,32 +65,42 @@ def communication_matrix(blocks: list[int], shards: int, seed: int) -> list[list
 
 
 def assign(rows: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
-    """``rows`` with ``shard`` and ``slot`` (gapless from 0 in its shard) added; works on any columns but ``_rid``.
+    """``rows`` with ``shard`` and ``slot`` (gapless from 0 in its shard) added; columns of any other names stay as they are.
 
-    Equal rows are told apart by a row number that is written down first, so
-    repeated rows, null ids and ties are dealt like any others. An empty table
-    gives an empty one.
+    ValueError is raised if the rows have a column of one of the two names.
+    Only row numbers are permuted: rows are written down once, numbered, so
+    that repeated rows, null ids and ties are dealt like any others, and are
+    joined with their places by number. An empty table gives an empty one.
     """
-    numbered = keep(rows.withColumn("_rid", F.monotonically_increasing_id()))
-    first, second = F.xxhash64("_rid", F.lit(seed)), F.xxhash64("_rid", F.lit(seed + 1))
+    clash = {"shard", "slot"} & {c.lower() for c in rows.columns}
+    if clash:
+        raise ValueError(f"the rows have columns {sorted(clash)}")
+    numbered = keep(rows.select(F.struct("*").alias("row")).withColumn("rid", F.monotonically_increasing_id()))
+    return numbered.join(_places(numbered.select("rid"), shards, seed), "rid").select("row.*", "shard", "slot")
+
+
+def _places(numbers: DataFrame, shards: int, seed: int) -> DataFrame:
+    """``rid, shard, slot`` of row numbers."""
+    first, second = F.xxhash64("rid", F.lit(seed)), F.xxhash64("rid", F.lit(seed + 1))
     top = lambda h: F.shiftrightunsigned(h, 64 - BLOCK_BITS).cast("int")
-    blocks = numbered.withColumn("_key", first).withColumn("_block", top(F.col("_key")))
-    sizes = dict(numbered.groupBy(top(first).alias("b")).count().collect())
+    blocks = numbers.withColumn("key", first).withColumn("block", top(F.col("key")))
+    sizes = dict(numbers.groupBy(top(first).alias("b")).count().collect())
     matrix = communication_matrix([sizes.get(b, 0) for b in range(1 << BLOCK_BITS)], shards, seed)
     ends = [[sum(row[: s + 1]) for s in range(shards)] for row in matrix]
-    inside = Window.partitionBy("_block").orderBy("_key", "_rid")
-    ranked = blocks.withColumn("_rank", F.row_number().over(inside))
-    bounds = F.element_at(F.lit(ends), F.col("_block") + 1)
-    shard = F.size(F.filter(bounds, lambda e: e < F.col("_rank")))
-    dealt = keep(ranked.withColumn("shard", shard).drop("_key", "_block", "_rank"))
+    inside = Window.partitionBy("block").orderBy("key", "rid")
+    ranked = blocks.withColumn("rank", F.row_number().over(inside))
+    bounds = F.element_at(F.lit(ends), F.col("block") + 1)
+    shard = F.size(F.filter(bounds, lambda e: e < F.col("rank")))
+    dealt = keep(ranked.select("rid", shard.alias("shard")))
     # The second permutation: shards are cut into ranges of a new random key, each range is ranked by it.
-    ranges = dealt.withColumn("_key", second).withColumn("_range", top(F.col("_key")) + (1 << (BLOCK_BITS - 1)))
-    counts = ranges.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_range")
-    base = counts.select("shard", "_range", (F.sum("_n").over(before) - F.col("_n")).alias("_base"))
-    within = Window.partitionBy("shard", "_range").orderBy("_key", "_rid")
-    slots = ranges.withColumn("_r", F.row_number().over(within)).join(F.broadcast(base), ["shard", "_range"])
-    return slots.withColumn("slot", F.col("_base") + F.col("_r") - 1).drop("_rid", "_key", "_range", "_r", "_base")
+    ranges = dealt.withColumn("key", second).withColumn("range", top(F.col("key")) + (1 << (BLOCK_BITS - 1)))
+    counts = ranges.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("range")
+    base = counts.select("shard", "range", (F.sum("n").over(before) - F.col("n")).alias("base"))
+    within = Window.partitionBy("shard", "range").orderBy("key", "rid")
+    # At most shards x 1024 ranges, whatever the input.
+    slots = ranges.withColumn("r", F.row_number().over(within)).join(F.broadcast(base), ["shard", "range"])
+    return slots.select("rid", "shard", (F.col("base") + F.col("r") - 1).alias("slot"))
 
 
 def digest(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
