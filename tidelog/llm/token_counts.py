@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidelog.llm.common import chunks, hash_segments, mix
-from tidelog.llm.packing import unit_starts
+from tidelog.llm.common import chunks, give_back, mix
+from tidelog.llm.packing import distinct_units, unit_starts
 
-#: Pre-tokens over this many bytes don't share prefixes; they are run alone.
+#: Pre-tokens over this many bytes don't share prefixes; they are run alone, by the pieces found in them.
 LONG = 48
 #: Pre-tokens that a task remembers.
 KNOWN = 300_000
@@ -40,10 +40,15 @@ class Vocabulary:
         total = math.log(sum(1 / (r + 2) for r in self.pieces.values()))
         self.score = {p: -math.log(r + 2) - total for p, r in self.pieces.items()}
         self.longest = max(map(len, self.pieces))
-        raw = [np.frombuffer(p, np.uint8) for p in self.pieces]
-        self.keys = np.array([int(hash_piece(x[None, :])[0]) for x in raw], np.uint64)
-        assert len(np.unique(self.keys)) == len(raw), "two pieces share a hash"
-        value = np.array([self.score[p] for p in self.pieces])
+        # Keys of all prefixes; those that are no piece have no score.
+        parts = sorted({p[:k] for p in self.pieces for k in range(1, len(p) + 1)})
+        self.keys = np.empty(len(parts), np.uint64)
+        size = np.array([len(p) for p in parts])
+        for n in np.unique(size).tolist():
+            mine = np.flatnonzero(size == n)
+            self.keys[mine] = hash_piece(np.frombuffer(b"".join(parts[i] for i in mine.tolist()), np.uint8).reshape(-1, n))
+        assert len(np.unique(self.keys)) == len(parts), "two pieces share a hash"
+        value = np.array([self.score.get(p, np.nan) for p in parts])
         order = np.argsort(self.keys)
         self.keys, self.value = self.keys[order], value[order]
         # A slot holds the place of the first key of its top bits; the keys of one are few and adjacent.
@@ -52,7 +57,7 @@ class Vocabulary:
         self.most = int(np.diff(self.first).max())
 
     def find(self, key: np.ndarray) -> np.ndarray:
-        """Score of each key, minus infinity for what is no piece."""
+        """Score of each key; minus infinity for what no piece begins with, not a number for what only begins one."""
         at = self.first[(key >> np.uint64(44)).astype(np.int64)]
         out = np.full(len(key), -np.inf)
         for i in range(self.most):
@@ -81,11 +86,40 @@ def segment_one(piece: bytes, vocab: Vocabulary) -> tuple[int, float]:
     for end in range(1, len(piece) + 1):
         for k in range(1, min(end, vocab.longest) + 1):
             s = vocab.score.get(piece[end - k : end])
-            if s is not None and best[end - k] + s > best[end]:
+            if s is not None and (best[end - k] + s, -n[end - k] - 1) > (best[end], -n[end]):
                 best[end], n[end] = best[end - k] + s, n[end - k] + 1
     return n[-1], best[-1]
 
 
+def segment_long(piece: bytes, vocab: Vocabulary) -> tuple[int, float]:
+    """As segment_one, for a long pre-token: pieces are looked up from all places at once, longer ones only where a piece still begins so."""
+    data = np.frombuffer(piece, np.uint8).astype(np.uint64)
+    begin, state, power = np.arange(len(data)), np.zeros(len(data), np.uint64), 1
+    from_, to, gain = [], [], []
+    for k in range(1, vocab.longest + 1):
+        inside = begin + k <= len(data)
+        begin, state = begin[inside], state[inside]
+        if not len(begin):
+            break
+        power = power * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        state = state * np.uint64(0x100000001B3) + data[begin + k - 1] + np.uint64(1)
+        found = vocab.find(mix(state + np.uint64(k * power & 0xFFFFFFFFFFFFFFFF)))
+        whole = np.flatnonzero(found > -np.inf)
+        from_.append(begin[whole])
+        to.append(begin[whole] + k)
+        gain.append(found[whole])
+        on = found != -np.inf
+        begin, state = begin[on], state[on]
+    from_, to, gain = np.concatenate(from_), np.concatenate(to), np.concatenate(gain)
+    order = np.argsort(to, kind="stable")
+    best, n = [0.0] + [-math.inf] * len(piece), [0] * (len(piece) + 1)
+    for a, b, s in zip(from_[order].tolist(), to[order].tolist(), gain[order].tolist()):
+        score = best[a] + s
+        if score > best[b] or (score == best[b] and n[a] + 1 < n[b]):
+            best[b], n[b] = score, n[a] + 1
+    return n[-1], best[-1]
+
+
 def segment_trie(pieces: np.ndarray, size: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, score) of sorted, distinct, zero-padded rows of bytes of the given lengths."""
     n, wide = pieces.shape
@@ -114,41 +148,42 @@ def segment_trie(pieces: np.ndarray, size: np.ndarray, vocab: Vocabulary) -> tup
             use = np.flatnonzero(found > -np.inf)
             back = owner[own[use], depth - k - 1] if k < depth else own[use]
             total = score[back, depth - k] + found[use] if k < depth else found[use]
-            better = total > best[use]
-            use, back, total = use[better], back[better], total[better]
+            more = (count[back, depth - k] if k < depth else np.zeros(len(use), np.int32)) + 1
+            better = (total > best[use]) | ((total == best[use]) & (more < tokens[use]))
+            use, total, more = use[better], total[better], more[better]
             best[use] = total
-            tokens[use] = (count[back, depth - k] if k < depth else 0) + 1
+            tokens[use] = more
         score[own, depth], count[own, depth] = best, tokens
     last = owner[row, np.maximum(size, 1) - 1]
     return count[last, size], score[last, size]
 
 
-def count_units(raw: bytes, starts: np.ndarray, ends: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, score) of distinct pre-tokens given by their places."""
-    size = ends - starts
+def count_units(units: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, score) of distinct pre-tokens."""
+    size = np.array([len(u) for u in units], np.int64)
     tokens, score = np.zeros(len(size), np.int64), np.zeros(len(size))
     short = np.flatnonzero(size <= LONG)
     if len(short):
-        pieces = [raw[s:e] for s, e in zip(starts[short].tolist(), ends[short].tolist())]
-        order = sorted(range(len(pieces)), key=pieces.__getitem__)
+        order = sorted(short.tolist(), key=units.__getitem__)
         wide = int(size[short].max())
-        table = np.frombuffer(b"".join(pieces[i].ljust(wide, b"\0") for i in order), np.uint8).reshape(-1, wide)
-        at = short[order]
-        tokens[at], score[at] = segment_trie(table, size[at], vocab)
-    for i in np.flatnonzero(size > LONG):
-        tokens[i], score[i] = segment_one(raw[starts[i] : ends[i]], vocab)
+        table = np.frombuffer(b"".join(units[i].ljust(wide, b"\0") for i in order), np.uint8).reshape(-1, wide)
+        tokens[order], score[order] = segment_trie(table, size[order], vocab)
+    for i in np.flatnonzero(size > LONG).tolist():
+        tokens[i], score[i] = segment_long(units[i], vocab)
     return tokens, score
 
 
-def count_known(raw: bytes, starts: np.ndarray, ends: np.ndarray, vocab: Vocabulary, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """As count_units, with what earlier chunks of the task had taken from ``known``, which it bounds."""
+def count_known(units: list[bytes], vocab: Vocabulary, known: dict) -> tuple[np.ndarray, np.ndarray]:
+    """As count_units, with what earlier chunks of the task had taken from ``known``, whose size is bounded."""
     if len(known) > KNOWN:
         known.clear()
-    pieces = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
-    new = np.array([i for i, p in enumerate(pieces) if p not in known], np.int64)
-    if len(new):
-        known.update(zip([pieces[i] for i in new], zip(*(x.tolist() for x in count_units(raw, starts[new], ends[new], vocab)))))
-    got = np.array([known[p] for p in pieces]).reshape(-1, 2)
+    new = [u for u in units if u not in known]
+    if new:
+        known.update(zip(new, zip(*(x.tolist() for x in count_units(new, vocab)))))
+    got = np.array([known[u] for u in units]).reshape(-1, 2)
+    for u in new:
+        if len(u) > LONG:
+            del known[u]
     return got[:, 0].astype(np.int64), got[:, 1]
 
 
@@ -156,24 +191,26 @@ def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken") -> DataFr
     """``doc_id, n_bytes, n_pretokens, n_tokens, score`` of every whole text.
 
     Pre-tokens begin at text starts and at spaces before other characters. Null
-    and empty texts have no tokens and score 0. Rows are only mapped: nothing
-    is shuffled, and a task holds one chunk of text at a time.
+    and empty texts have no tokens and score 0. Repeated rows and rows without
+    an id are counted each; an empty table gives an empty one. Rows are only
+    mapped: nothing is shuffled, and a task holds one chunk of text at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, known = vocabulary(name), {}
         for rows, data, offsets in chunks(batches):
             starts = unit_starts(data, offsets)
-            ends = np.append(starts[1:], len(data)) if len(starts) else starts
             before = np.searchsorted(starts, offsets)
-            _, first, unit = np.unique(hash_segments(data, starts, ends), return_index=True, return_inverse=True)
-            tokens, score = count_known(data.tobytes(), starts[first], ends[first], vocab, known)
+            units, unit = distinct_units(data, starts)
+            tokens, score = count_known(units.to_pylist(), vocab, known)
             who = np.repeat(np.arange(rows.num_rows), np.diff(before))
             total = np.bincount(who, tokens[unit], rows.num_rows).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), *(pa.array(x, pa.int64()) for x in (np.diff(offsets), np.diff(before), total)), pa.array(np.bincount(who, score[unit], rows.num_rows))],
                 ["doc_id", "n_bytes", "n_pretokens", "n_tokens", "score"],
             )
+        known.clear()
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_pretokens bigint, n_tokens bigint, score double")
