@@ -5,22 +5,25 @@ is the sign of its shingles' summed random signs; sums come from packed running
 totals. Multi-index tables on blocks of the fingerprint give, by the pigeonhole
 principle, every item within the radius; the exact weighted similarity of the
 shingle multisets decides. Windows at the end of the words are as short as
-what is left there.
+what is left there. The items are indexed by tasks, in parts that are files of
+the shared folder; the documents are read once, whatever the number of items.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
-from collections import Counter
+import pickle
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidelog.llm.common import chunks, hash_segments, keep, lowered, mix, word_bounds
+from tidelog.llm.common import chunks, give_back, hash_segments, keep, lowered, mix, shared_folder, word_bounds
+from tidelog.llm.elias_fano import load, store
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -130,13 +133,16 @@ class HammingIndex:
     near to each of its values, as a bit set.
     """
 
-    def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS, tables: np.ndarray | None = None):
         self.prints, self.radius = prints, radius
         width = BITS // blocks
         self.shift = [(b * width // 64, np.uint64(b * width % 64)) for b in range(blocks)]
         self.mask = np.uint64((1 << width) - 1)
-        value = np.arange(1 << width, dtype=np.uint64)
         sets = -(-prints.shape[1] // 64)
+        if tables is not None:
+            self.tables = tables.reshape(blocks, sets, 1 << width)
+            return
+        value = np.arange(1 << width, dtype=np.uint64)
         self.tables = np.zeros((blocks, sets, 1 << width), np.uint64)
         for b, (word, by) in enumerate(self.shift):
             for i, p in enumerate(prints[word] >> by & self.mask):
@@ -160,41 +166,80 @@ class HammingIndex:
         return np.concatenate(found_q or [np.zeros(0, np.int64)]), np.concatenate(found_i or [np.zeros(0, np.int64)])
 
 
+def similarities(bag: Counter, run: list[int], n: int) -> Iterator[float]:
+    """Weighted similarity of a bag with each window of ``n`` shingles of a run (the whole run if it is shorter), by what enters and leaves."""
+    size, seen, both = sum(bag.values()), Counter(), 0
+    for i, new in enumerate(run):
+        both += seen[new] < bag.get(new, 0)
+        seen[new] += 1
+        if i >= n:
+            old = run[i - n]
+            seen[old] -= 1
+            both -= seen[old] < bag.get(old, 0)
+        if i >= min(n, len(run)) - 1:
+            yield both / (size + min(n, len(run)) - both)
+
+
 class Items:
-    """Benchmark items by window size, with their fingerprint index and shingle multisets."""
+    """Benchmark items by window size, with their fingerprint index; kept as plain arrays, which may be mapped."""
 
     def __init__(self, items: list[tuple[object, str | None]]):
-        self.ids, self.words, self.bags = [], [], []
+        ids, words = [], []
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             word, _ = plain_words(raw, np.array([0, len(raw)]))
             if len(word):
-                self.ids.append(item)
-                self.words.append(word)
-                self.bags.append(Counter(_shingles_of(word)))
-        self.short = [i for i, w in enumerate(self.words) if len(w) < WIDTH]
-        size = {i: len(w) - WIDTH + 1 for i, w in enumerate(self.words) if len(w) >= WIDTH}
+                ids.append(item)
+                words.append(word)
+        size = {i: len(w) - WIDTH + 1 for i, w in enumerate(words) if len(w) >= WIDTH}
         steps = {i: round(math.log(n) / math.log(RATIO)) for i, n in size.items()}
-        self.groups = []
+        arrays = {"ids": np.frombuffer(pickle.dumps(ids), np.uint8), "words": np.concatenate(words or [np.zeros(0, np.uint64)]), "ends": np.cumsum([0, *map(len, words)])}
         for k in sorted(set(steps.values())):
             mine = [i for i in steps if steps[i] == k]
+            prints = np.concatenate([fingerprints(running_shingles(words[i]), [(size[i], size[i])])[0] for i in mine], axis=1)
             w = max(1, round(RATIO**k))
-            prints = np.concatenate([fingerprints(running_shingles(self.words[i]), [(size[i], size[i])])[0] for i in mine], axis=1)
-            self.groups.append((w, max(1, round(w / STRIDE)), np.array(mine), HammingIndex(prints)))
+            arrays |= {f"{w}.items": np.array(mine), f"{w}.prints": prints.ravel(), f"{w}.tables": HammingIndex(prints).tables.ravel()}
+        self._use(arrays)
+
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> "Items":
+        out = cls.__new__(cls)
+        out._use(arrays)
+        return out
+
+    def _use(self, arrays: dict[str, np.ndarray]) -> None:
+        self.arrays, self.ids, self._bags = arrays, pickle.loads(arrays["ids"].tobytes()), {}
+        ends = arrays["ends"].tolist()
+        self.words = [arrays["words"][a:b] for a, b in zip(ends[:-1], ends[1:])]
+        self.short = [i for i, w in enumerate(self.words) if len(w) < WIDTH]
+        self.groups = []
+        for name in arrays:
+            if name.endswith(".items"):
+                w = name.split(".")[0]
+                index = HammingIndex(arrays[f"{w}.prints"].reshape(BITS // 64, -1), tables=arrays[f"{w}.tables"])
+                self.groups.append((int(w), stride_of(int(w)), arrays[name], index))
+
+    def bag(self, item: int) -> Counter:
+        if item not in self._bags:
+            self._bags[item] = Counter(_shingles_of(self.words[item]))
+        return self._bags[item]
 
     def verify(self, item: int, shingle: list[int], slack: int, threshold: float) -> tuple[float, int]:
         """(best similarity, its place) of item-sized windows in a run of shingles of one text."""
-        bag, n = self.bags[item], len(self.words[item]) - WIDTH + 1
+        bag, n = self.bag(item), len(self.words[item]) - WIDTH + 1
         best = (0.0, -1)
         if sum(x in bag for x in shingle) < threshold * n / (1 + slack):
             return best
-        for at in range(max(1, len(shingle) - n + 1)):
-            got = similarity(bag, Counter(shingle[at : at + n]))
+        for at, got in enumerate(similarities(bag, shingle, n)):
             if got > best[0]:
                 best = (got, at)
         return best
 
 
+def stride_of(w: int) -> int:
+    return max(1, round(w / STRIDE))
+
+
 def _shingles_of(word: np.ndarray) -> list[int]:
     if len(word) >= WIDTH:
         return running_shingles(word).tolist()
@@ -204,12 +249,18 @@ def _shingles_of(word: np.ndarray) -> list[int]:
     return h.tolist()
 
 
-def matches(items: Items, word: np.ndarray, before: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, float, int, int]]:
+def windows_of(word: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The shingles of a chunk of texts, and the fingerprints of its windows of each size."""
+    shingle = running_shingles(word)
+    return shingle, dict(zip(sizes, fingerprints(shingle, [(w, stride_of(w)) for w in sizes]))) if sizes else {}
+
+
+def matches(items: Items, word: np.ndarray, before: np.ndarray, threshold: float = THRESHOLD, made: tuple | None = None) -> list[tuple[int, int, float, int, int]]:
     """(text, item, similarity, first word, words) of the best window of each text and item at or over the threshold."""
     best: dict[tuple[int, int], tuple[float, int]] = {}
-    shingle = running_shingles(word)
-    prints = fingerprints(shingle, [(w, s) for w, s, _, _ in items.groups]) if items.groups else []
-    for (w, stride, mine, index), query in zip(items.groups, prints):
+    shingle, prints = made or windows_of(word, [w for w, *_ in items.groups])
+    for w, stride, mine, index in items.groups:
+        query = prints[w]
         spots, which = index.search(query)
         first, last = spots * stride, np.minimum(spots * stride + w + WIDTH - 2, len(word) - 1)
         text = {k: np.searchsorted(before, p, "right") - 1 for k, p in (("a", first), ("b", (first + last) // 2), ("c", last))}
@@ -238,72 +289,89 @@ def matches(items: Items, word: np.ndarray, before: np.ndarray, threshold: float
     return [(t, i, s, at - int(before[t]), len(items.words[i])) for (t, i), (s, at) in sorted(best.items())]
 
 
-_BUILT: dict[str, Items] = {}
+#: Parts of an index that a worker keeps open.
+_OPEN: OrderedDict[str, Items] = OrderedDict()
+_MOST_OPEN = 4
 
 
-def items_of(key: str, rows: list) -> Items:
-    """The index of a pass, built once in a worker."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Items(rows)
-    return _BUILT[key]
+class Index:
+    """The parts of a benchmark's index, files of the shared folder; travels to tasks as their names."""
 
+    def __init__(self, folder: str, names: list[str], sizes: list[int]):
+        self.folder, self.names, self.sizes = folder, names, sizes
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, items_per_pass: int = 1000) -> DataFrame:
-    """``doc_id, item_id, similarity, start_word, n_words``: one row for each document and item that it contains.
+    @classmethod
+    def build(cls, benchmark: DataFrame, items_per_part: int = 1000) -> "Index":
+        """Index all items, each part in a task. Of the benchmark, only part names and window sizes reach the driver."""
+        folder = shared_folder(benchmark.sparkSession) + "-items"
+        rows = benchmark.select("item_id", "text")
+        parts = max(1, -(-rows.count() // items_per_part))
 
-    Words are lower-cased, without ASCII punctuation, so that marks around a
-    passage hide nothing. Each pass over the documents takes a part of the
-    benchmark, whose index (64 KB an item) every worker holds; a benchmark of
-    over ``items_per_pass`` items takes several. Null and empty texts and items
-    match nothing; an item of fewer than five words must occur whole. Repeated
-    rows give repeated results.
-    """
-    rows = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()]
-    passes = [rows[i : i + items_per_pass] for i in range(0, max(1, len(rows)), items_per_pass)]
-    return reduce(DataFrame.unionByName, [_one_pass(docs, part, benchmark.schema["item_id"].dataType.simpleString(), threshold) for part in passes])
+        def write(table: pa.Table) -> pa.Table:
+            items = Items(list(zip(*(table.column(c).to_pylist() for c in ("item_id", "text")))))
+            return pa.table({"name": [store(folder, "items", items.arrays)], "sizes": pa.array([[w for w, *_ in items.groups]], pa.list_(pa.int64()))})
 
+        made = keep(rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))).groupBy("part").applyInArrow(write, "name string, sizes array<bigint>")).collect()
+        return cls(folder, sorted(r.name for r in made), sorted({w for r in made for w in r.sizes}))
 
-def _one_pass(docs: DataFrame, rows: list, item_type: str, threshold: float) -> DataFrame:
-    sent, key = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    def parts(self) -> Iterator[Items]:
+        for name in self.names:
+            if name not in _OPEN:
+                _OPEN[name] = Items.of(load(self.folder, name))
+                while len(_OPEN) > _MOST_OPEN:
+                    _OPEN.popitem(last=False)
+            else:
+                _OPEN.move_to_end(name)
+            yield _OPEN[name]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = items_of(key, sent.value)
-        for part, data, offsets in chunks(batches, limit=CHUNK):
+    def search(self, batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[Items, list]]]]:
+        """Slices of rows with the matches of each part of the index in them; their windows are made once."""
+        for rows, data, offsets in chunks(batches, limit=CHUNK):
             word, before = plain_words(data, offsets)
-            found = matches(items, word, before, threshold)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id").take(pa.array([x[0] for x in found], pa.int64())),
-                    pa.array([items.ids[x[1]] for x in found], pa.int64() if item_type == "bigint" else None if found else pa.string()),
-                    *(pa.array([x[k] for x in found], t) for k, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()))),
-                ],
-                ["doc_id", "item_id", "similarity", "start_word", "n_words"],
-            )
+            made = windows_of(word, self.sizes)
+            yield rows, ((items, matches(items, word, before, threshold, made)) for items in self.parts())
+        give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, item_id {item_type}, similarity double, start_word bigint, n_words bigint")
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, items_per_pass: int = 1000) -> DataFrame:
+    """``doc_id, item_id, similarity, start_word, n_words``: one row for each document and item that it contains.
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, items_per_pass: int = 1000) -> DataFrame:
-    """Rows of ``docs`` without a benchmark item in them; columns stay. Each row is judged alone, whatever its id.
-
-    The rows left are written to the shared folder between passes.
+    Words are lower-cased, without ASCII punctuation, so that marks around a
+    passage hide nothing. The documents are read once; a worker maps the
+    benchmark's index (64 KB an item) in parts of ``items_per_pass`` items and
+    goes through all parts for each chunk of text. Null and empty texts and
+    items match nothing; an item of fewer than five words must occur whole.
+    Texts and items of any length are whole. Repeated rows, and rows without
+    an id, give results each. An empty table of either kind gives an empty one.
     """
-    rows = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()]
-    for at in range(0, len(rows), items_per_pass):
-        docs = _without(keep(docs) if at else docs, rows[at : at + items_per_pass], threshold)
-    return docs
+    index = Index.build(benchmark, items_per_pass)
+    doc_type, item_type = (df.schema[c].dataType for df, c in ((docs, "doc_id"), (benchmark, "item_id")))
+    arrow = to_arrow_type(item_type)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, by_items in index.search(batches, threshold):
+            for items, found in by_items:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id").take(pa.array([x[0] for x in found], pa.int64())),
+                        pa.array([items.ids[x[1]] for x in found], arrow),
+                        *(pa.array([x[k] for x in found], t) for k, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()))),
+                    ],
+                    ["doc_id", "item_id", "similarity", "start_word", "n_words"],
+                )
 
-def _without(docs: DataFrame, rows: list, threshold: float) -> DataFrame:
-    sent, key = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type.simpleString()}, item_id {item_type.simpleString()}, similarity double, start_word bigint, n_words bigint")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, items_per_pass: int = 1000) -> DataFrame:
+    """Rows of ``docs`` without a benchmark item in them; columns stay, whatever their names. Each row is judged alone, whatever its id."""
+    index = Index.build(benchmark, items_per_pass)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = items_of(key, sent.value)
-        for part, data, offsets in chunks(batches, limit=CHUNK):
+        for part, by_items in index.search(batches, threshold):
             left = np.ones(part.num_rows, bool)
-            left[[x[0] for x in matches(items, *plain_words(data, offsets), threshold)]] = False
+            for _, found in by_items:
+                left[[x[0] for x in found]] = False
             yield part.filter(pa.array(left))
 
     return docs.mapInArrow(run, docs.schema)

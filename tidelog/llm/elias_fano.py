@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
+from pyarrow import fs as pafs
 
 _BLOCK = 1 << 15
 _EACH = np.uint64(0x0101010101010101)
@@ -162,3 +164,22 @@ def part(arrays: dict[str, np.ndarray], prefix: str) -> dict[str, np.ndarray]:
 
 def named(arrays: dict[str, np.ndarray], prefix: str) -> dict[str, np.ndarray]:
     return {f"{prefix}.{k}": v for k, v in arrays.items()}
+
+
+def store(folder: str, kind: str, arrays: dict[str, np.ndarray]) -> str:
+    """Write arrays to a file of the folder, under a name of its own, so that attempts don't meet."""
+    place, base = pafs.FileSystem.from_uri(folder)
+    place.create_dir(base, recursive=True)
+    name = f"{kind}-{uuid.uuid4().hex}"
+    with place.open_output_stream(f"{base}/{name}", compression=None) as f:
+        f.write(to_bytes(arrays))
+    return name
+
+
+def load(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of a stored file: mapped where the folder is one of the machine's, else read."""
+    place, base = pafs.FileSystem.from_uri(f"{folder}/{name}")
+    if isinstance(place, pafs.LocalFileSystem):
+        return from_buffer(np.memmap(base, np.uint8, "r"))
+    with place.open_input_file(base) as f:
+        return from_buffer(np.frombuffer(f.read(), np.uint8))

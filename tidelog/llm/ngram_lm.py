@@ -13,18 +13,16 @@ add-0.1 unigram estimate; a and l are kept as 16-bit codes that round down.
 
 from __future__ import annotations
 
-import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import chunks, give_back, keep, mix, shared_folder, words
-from tidelog.llm.elias_fano import EliasFano, from_buffer, named, part, to_bytes
+from tidelog.llm.elias_fano import EliasFano, load, named, part, store
 
 ADD = 0.1
 DISCOUNT = 0.75
@@ -80,13 +78,7 @@ class Shards:
         if shard not in self.names:
             return None
         if shard not in self._open:
-            store, base = pafs.FileSystem.from_uri(f"{self.folder}/{self.names[shard]}")
-            if isinstance(store, pafs.LocalFileSystem):
-                data = np.memmap(base, np.uint8, "r")
-            else:
-                with store.open_input_file(base) as f:
-                    data = np.frombuffer(f.read(), np.uint8)
-            arrays = from_buffer(data)
+            arrays = load(self.folder, self.names[shard])
             sequences = {k.split(".")[0] for k in arrays if "." in k}
             self._open[shard] = {**arrays, **{s: EliasFano.of(part(arrays, s)) for s in sequences}}
             if len(self._open) > 256:
@@ -106,16 +98,6 @@ class Shards:
         return {"folder": self.folder, "names": self.names, "first": self.first, "_open": OrderedDict()}
 
 
-def _write(folder: str, kind: str, arrays: dict[str, np.ndarray]) -> str:
-    """A file under a name of its own, so that attempts don't meet."""
-    store, base = pafs.FileSystem.from_uri(folder)
-    store.create_dir(base, recursive=True)
-    name = f"{kind}-{uuid.uuid4().hex}"
-    with store.open_output_stream(f"{base}/{name}", compression=None) as f:
-        f.write(to_bytes(arrays))
-    return name
-
-
 class Model:
     """The levels of a trained model; travels to tasks as names and counts alone."""
 
@@ -379,7 +361,7 @@ def _unigrams(docs: DataFrame, min_count: int) -> Model:
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, keys, counts = _gathered(batches)
         words_ = EliasFano.build(keys & np.uint64((1 << 64 - bits) - 1), 1 << 64 - bits)
-        name = _write(folder, "words", {"count": _narrow(counts)} | named(words_, "words"))
+        name = store(folder, "words", {"count": _narrow(counts)} | named(words_, "words"))
         yield _told(shard, name, len(keys), int(counts.sum()))
 
     hashes = lambda batches: (tokens(d, o)[0] for _, d, o in chunks(batches, limit=CHUNK))
@@ -415,7 +397,7 @@ def _grow(model: Model, rows: DataFrame, min_count: int) -> None:
         total = np.bincount(context, counts, contexts)
         kept = counts >= min_count
         level = _level(context[kept], value[kept], counts[kept], total[context[kept]], contexts) | _small_counts(counts[kept])
-        yield _told(shard, _write(folder, "bigrams", level), int(kept.sum()), int(np.bincount(context[kept]).max(initial=0)))
+        yield _told(shard, store(folder, "bigrams", level), int(kept.sum()), int(np.bincount(context[kept]).max(initial=0)))
 
     made = keep(_count(bigram_keys, rows, by_context(unigrams.first, wide)).groupBy("shard").applyInArrow(write_bigrams, _TOLD)).collect()
     model.bigrams, nodes = _shards(folder, made, shards)
@@ -439,7 +421,7 @@ def _grow(model: Model, rows: DataFrame, min_count: int) -> None:
         context, value, counts = context[kept], value[kept], counts[kept]
         bigrams = _counts_of(model.bigrams.arrays(shard))
         level = _level(context, value, counts, bigrams[context], len(bigrams))
-        yield _told(shard, _write(folder, "trigrams", level), len(counts), 0)
+        yield _told(shard, store(folder, "trigrams", level), len(counts), 0)
 
     made = keep(_count(trigram_keys, rows, by_context(model.bigrams.first, rel)).groupBy("shard").applyInArrow(write_trigrams, _TOLD)).collect()
     model.trigrams, _ = _shards(folder, made, shards)
