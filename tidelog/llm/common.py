@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import os
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -30,14 +31,23 @@ def is_space(data: np.ndarray) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which is set only where it is unset."""
+    """A new folder under spark.checkpoint.dir; where that is unset, a local session gets one here, and a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        spark.sparkContext.setCheckpointDir("checkpoints")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(os.path.abspath("checkpoints"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
 
 
+def lean(spark: SparkSession, size: str = "8m") -> None:
+    """Smaller Arrow batches than Spark's default: a batch lies in the executor's heap and again in each of its workers. A user's own setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB"):
+        spark.conf.set(name, size)
+
+
 def keep(df: DataFrame, *done: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends there, and any executor can read it.
 

@@ -221,7 +221,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float = 0.0) -> DataFrame:
-    """Rows of ``docs`` whose language is known with a score over ``min_score``; columns stay as they are, whatever their names.
+    """Rows of ``docs`` whose language is told with a score of ``min_score`` or more; columns stay as they are, whatever their names.
 
     Where nothing was learned, there is nothing to reject by: rows with a
     letter stay. Rows whose text is null, empty or without a letter go.
@@ -231,5 +231,5 @@ def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: floa
     names = tuple(docs.columns)
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}" if c != "text" else "text") for i, c in enumerate(names)])
     judged = predict(plain, prototypes, tuple(plain.columns))
-    kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > min_score))
+    kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
     return kept.select(*[F.col(p).alias(c) for p, c in zip(plain.columns, names)])

@@ -3,7 +3,17 @@
 from __future__ import annotations
 
 from tidelog.llm import decontamination, embedding_dedup, language_id, minhash_dedup, ngram_lm, packing, sharding, token_counts, url_filter, warc
-from tidelog.llm.common import table
+from tidelog.llm.common import lean, table
+
+
+
+def _lean(query):
+    def run(spark, folder):
+        lean(spark)
+        return query(spark, folder)
+
+    return run
+
 
 QUERIES = {
     "op1_minhash_dedup": lambda s, d: minhash_dedup.deduplicate(table(s, d, "documents")),
@@ -18,6 +28,8 @@ QUERIES = {
     "op10_embedding_dedup": lambda s, d: embedding_dedup.linked(table(s, d, "embeddings")),
 }
 
+QUERIES = {name: _lean(query) for name, query in QUERIES.items()}
+
 _RULES = ", ".join(f"('{h}', '{p}', '{h + p}', '{v}')" for h, p, v in url_filter.RULES)
 
 ORACLES = {
