@@ -21,12 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import chunks, is_space, keep
+from tidelog.llm.common import chunks, give_back, is_space, keep
 
 WINDOW = 2048
 END_ID = 1
 SPECIAL = "<|endoftext|>"
-#: Pieces of open windows that may be sent to every task; beyond, texts are shuffled to them.
+#: Hashes of open windows' texts that may be sent to every task (16 bytes each); beyond, texts are shuffled to them.
 SENT_PIECES = 200_000
 
 
@@ -139,8 +139,17 @@ def encoder_of(name: str) -> Encoder:
     return Encoder(name)
 
 
+#: Two hashes of a text, 96 bits, by which pieces find it again.
+_SAME = ("h1", "h2")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumn("h1", F.xxhash64(text)).withColumn("h2", F.crc32(F.encode(text, "UTF-8")))
+
+
 def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """Every document's ids plus the end id, cut into full windows and a remainder: one row a piece, ids as checksums."""
+    """Every document's ids plus the end id, cut into full windows and a remainder: one row a piece, ids as checksums, texts as hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
@@ -157,13 +166,15 @@ def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_50
                     length.append(min(window, n - s))
                     crc.append(zlib.crc32(raw[4 * s : 4 * (s + window)]))
                     total.append(n)
+            of = pa.array(doc, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id").take(pa.array(doc, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+                [*(rows.column(c).take(of) for c in ("doc_id", *_SAME)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))],
+                ["doc_id", *_SAME, "start", "length", "ids_crc32", "doc_tokens"],
             )
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return _hashed(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, h1 bigint, h2 bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 class SumOfSquares:
@@ -226,7 +237,8 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_50k.
 
     One row a piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset``. An empty or null text is its end id alone; repeated
-    rows are packed each; an empty table gives an empty one. ``rounds`` more
+    rows, and rows without an id, are packed each; texts of any length are
+    whole; an empty table gives an empty one. ``rounds`` more
     passes join windows that stayed partly filled, and the last ones are cut
     anew, so that only documents there have a second cut.
     """
@@ -242,7 +254,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_50k.
             break
         again = pack_items(open_, max(1, -(-left // items_per_task)), window, i + 1).select(F.col("item").alias("bin"), F.col("bin").alias("_to"), F.col("offset").alias("_by"))
         moved = placed.join(again, "bin", "left")
-        placed = keep(moved.select("item", "length", F.coalesce("_to", "bin").alias("bin"), (F.col("offset") + F.coalesce("_by", F.lit(0))).alias("offset")))
+        placed = keep(moved.select("item", "length", F.coalesce("_to", "bin").alias("bin"), (F.col("offset") + F.coalesce("_by", F.lit(0))).alias("offset")), placed)
     fill = placed.groupBy("bin").agg(F.sum("length").cast("bigint").alias("length"))
     open_ = keep(fill.where((F.col("length") < window) & (F.bit_count("length") > 1)).select("bin"))
     closed = keep(_closed(docs, cut, placed, open_, window, vocabulary))
@@ -277,19 +289,22 @@ def _spans(begin: int, end: int, total: int, window: int) -> Iterator[tuple[int,
 def _closed(docs: DataFrame, cut: DataFrame, placed: DataFrame, open_: DataFrame, window: int, vocabulary: str) -> DataFrame:
     """Pieces of windows that no item has filled, cut again so that nothing is padded.
 
-    Such windows are few beside the corpus. In groups of some 4,000 their pieces
-    are a stream, cut into full windows and what remains into powers of two.
-    Their documents are tokenized again for the new pieces' checksums; a row is
-    known by the checksum of the old piece.
+    Their number doesn't grow with the documents but with the tasks of the
+    last round: beside a large corpus they are few, in a small one they may be
+    most of it. In groups of some 4,000 their pieces are a stream, cut into
+    full windows and what remains into powers of two. Their texts, each
+    distinct one once, are tokenized again for the new pieces' checksums.
     """
     n = open_.count()
     groups = max(1, -(-n // 4096))
-    here = placed.join(open_, "bin", "left_semi").join(cut.select("item", "doc_id", "start", "ids_crc32", "doc_tokens"), "item").withColumn("g", F.pmod(F.xxhash64("bin"), F.lit(groups)))
+    here = placed.join(open_, "bin", "left_semi").join(cut.select("item", "doc_id", *_SAME, "start", "doc_tokens"), "item").withColumn("g", F.pmod(F.xxhash64("bin"), F.lit(groups)))
     run = Window.partitionBy("g").orderBy("bin", "offset")
     stream = keep(here.withColumn("end", F.sum("length").over(run)).withColumn("total", F.sum("length").over(Window.partitionBy("g"))))
-    ends = F.broadcast(stream) if stream.count() <= SENT_PIECES else stream
-    names = ["item", "g", "start", "length", "ids_crc32", "doc_tokens", "end", "total"]
-    found = docs.select(F.col("doc_id").alias("_id"), "text").join(ends, F.col("_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text", *names)
+    wanted = stream.select(*_SAME).distinct()
+    wanted = F.broadcast(wanted) if stream.count() <= SENT_PIECES else wanted
+    texts = _hashed(docs.select(F.coalesce("text", F.lit("")).alias("text"))).join(wanted, list(_SAME), "left_semi").groupBy(*_SAME).agg(F.first("text").alias("text"))
+    names = ["g", "start", "length", "doc_tokens", "end", "total"]
+    found = stream.join(texts, list(_SAME)).select("doc_id", "text", *names)
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
@@ -297,15 +312,15 @@ def _closed(docs: DataFrame, cut: DataFrame, placed: DataFrame, open_: DataFrame
         for rows, data, offsets in chunks(batches):
             ids, before = encoder.encode(data, offsets)
             out = []
-            for i, (item, g, start, length, crc, tokens, end, total) in enumerate(zip(*(rows.column(c).to_pylist() for c in names))):
+            for i, (g, start, length, tokens, end, total) in enumerate(zip(*(rows.column(c).to_pylist() for c in names))):
                 own = np.concatenate([ids[before[i] : before[i + 1]], end_id]).astype("<u4")
-                if len(own) == tokens and zlib.crc32(own[start : start + length].tobytes()) == crc:
-                    for a, b, number, offset in _spans(end - length, end, total, window):
-                        s = start + a - (end - length)
-                        out.append((i, item, s, b - a, zlib.crc32(own[s : s + b - a].tobytes()), tokens, -1 - ((g << 36) + number), offset))
-            cols = list(zip(*out)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "item", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                if len(own) != tokens:
+                    raise ValueError("two texts share their hashes")
+                for a, b, number, offset in _spans(end - length, end, total, window):
+                    s = start + a - (end - length)
+                    out.append((i, s, b - a, zlib.crc32(own[s : s + b - a].tobytes()), tokens, -1 - ((g << 36) + number), offset))
+            cols = list(zip(*out)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = found.mapInArrow(run_, f"doc_id {kind}, item bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
-    return made.dropDuplicates(["item", "start"])
+    return found.mapInArrow(run_, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
