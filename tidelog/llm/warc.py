@@ -114,10 +114,13 @@ class LoserTree:
 
 
 _ENTRY = "url_key string, ts string, page_id bigint, file string, at bigint, size bigint, row bigint"
+_NAMES = [f.split()[0] for f in _ENTRY.split(", ")]
+#: Index entries of a range that one task merges.
+ENTRIES = 200_000
 
 
-def decided(pages: DataFrame) -> DataFrame:
-    """``row, page_id, url, html, digest, refers_to``: of equal payloads of enough bytes the least page stays, others refer to it."""
+def decided(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with their payload's ``digest`` and size ``n``, the ``first`` page of each digest that several pages of enough bytes share)."""
     raw = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = pages.select("page_id", "url", "html", F.sha2(raw, 256).alias("digest"), F.octet_length(raw).alias("n")).withColumn("row", F.monotonically_increasing_id())
     seen = pages.select("page_id", F.sha2(raw, 256).alias("digest"), F.octet_length(raw).alias("n")).where(F.col("n") >= MIN_REVISIT)
@@ -146,7 +149,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         def finish() -> pa.RecordBatch:
             # The run of this archive, in order of key, time and page.
             entries.sort(key=lambda e: (e[0], e[1], -1 if e[2] is None else e[2]))
-            done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*entries), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], [f.split()[0] for f in _ENTRY.split(", ")])
+            done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*entries), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], _NAMES)
             entries.clear()
             return done
 
@@ -170,28 +173,45 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return keep(records.mapInArrow(run, _ENTRY))
 
 
-def merge_index(runs: DataFrame, parts: int | None = None) -> DataFrame:
+def _slices(batches: Iterable[pa.RecordBatch]) -> dict[str, list[pa.RecordBatch]]:
+    """The batches of a range by run; they come run by run, each in order."""
+    runs: dict[str, list[pa.RecordBatch]] = {}
+    for batch in batches:
+        names = batch.column("file").to_pylist()
+        at = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+        for a, b in zip(at[:-1], at[1:]):
+            if b > a:
+                runs.setdefault(names[a], []).append(batch.slice(a, b - a))
+    return runs
+
+
+def _entries(slices: list[pa.RecordBatch], block: int = 1024) -> Iterator[tuple]:
+    """A run's entries with their place in the order before them; a block of it is unpacked at a time."""
+    for batch in slices:
+        for at in range(0, batch.num_rows, block):
+            part = batch.slice(at, block)
+            for e in zip(*(part.column(c).to_pylist() for c in _NAMES)):
+                yield e[0], e[1], -1 if e[2] is None else e[2], e[6], e
+
+
+def merge_index(runs: DataFrame, entries_per_part: int = ENTRIES) -> DataFrame:
     """All index runs as one index in global order of URL key, time and page, with ``part`` and ``position`` in it.
 
-    Ranges hold whole slices of the order; ties of key and time are cut by page
-    and row, so one URL may span ranges. A task's rows arrive run by run, each
-    run in order, and leave merged.
+    Ranges are cut by size at sampled whole entries, so a task holds about
+    ``entries_per_part`` of them (packed, some 150 bytes each) however many
+    there are; ties of key and time are cut by page and row, so one URL may
+    span ranges. A task's rows arrive run by run, each in order, and leave
+    merged by a loser tree that unpacks one block of each run at a time.
     """
-    spark = runs.sparkSession
-    n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, -(-runs.count() // entries_per_part))
     order = ["url_key", "ts", "page_id", "row"]
     sliced = runs.repartitionByRange(n, *order).sortWithinPartitions("file", *order)
-    kinds = [f.split()[0] for f in _ENTRY.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rows: dict[str, list] = {}
-        for batch in batches:
-            for e in zip(*(batch.column(c).to_pylist() for c in kinds)):
-                rows.setdefault(e[3], []).append((e[0], e[1], -1 if e[2] is None else e[2], e[6], e))
         part, out = TaskContext.get().partitionId(), []
-        for position, (*_, e) in enumerate(LoserTree([iter(rows[k]) for k in sorted(rows)])):
+        for position, (*_, e) in enumerate(LoserTree([_entries(r) for _, r in sorted(_slices(batches).items())])):
             out.append((*e, part, position))
             if len(out) >= 10_000:
                 yield _batch(out)
@@ -201,7 +221,7 @@ def merge_index(runs: DataFrame, parts: int | None = None) -> DataFrame:
 
     def _batch(out: list) -> pa.RecordBatch:
         kinds_ = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds_)], [*kinds, "part", "position"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds_)], [*_NAMES, "part", "position"])
 
     return sliced.mapInArrow(run, f"{_ENTRY}, part bigint, position bigint")
 
@@ -244,8 +264,15 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
 
 
 def history(index: DataFrame) -> DataFrame:
-    """Captures of each URL in time: the merged index with the number of the capture."""
-    return index.withColumn("capture", F.row_number().over(Window.partitionBy("url_key").orderBy("ts", "page_id", "row")))
+    """The merged index with the number of each entry among its URL's captures, from 1 on in order of time.
+
+    A URL's captures stand together in a part, so a number is the place there
+    and the captures in earlier parts; no task takes all captures of a URL.
+    """
+    here = index.groupBy("url_key", "part").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("url_key").orderBy("part")) - F.col("n")
+    joined = index.join(here.select("url_key", "part", "first", before.alias("before")), ["url_key", "part"])
+    return joined.withColumn("capture", F.col("before") + F.col("position") - F.col("first") + 1).select(*index.columns, "capture")
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -253,7 +280,8 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     Null html is an empty payload, null urls and ids stay null in the result;
     repeated rows are records of their own. Rows of one payload and one id are
-    all responses. An empty table writes no archive.
+    all responses. Payloads and urls of any length are whole. An empty table
+    writes no archive.
     """
     where = folder or shared_folder(pages.sparkSession) + "-warc"
     index = keep(merge_index(write_archives(pages, where)))
