@@ -26,7 +26,7 @@ DIRECTIONS = 48
 REACH = 1.6
 #: Share of pairs at the threshold that may fail the count, and the strip test.
 MISS = 1e-6
-STRIP = 1024
+STRIP = 4096
 
 
 def directions(dim: int, count: int = DIRECTIONS) -> np.ndarray:
@@ -52,28 +52,32 @@ def calibrated_count(count: int = DIRECTIONS, reach: float = REACH, miss: float
 def collisions(one: np.ndarray, two: np.ndarray, half: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of two sets of projections whose windows hold each other on ``least`` directions or more.
 
-    Each direction is sorted once; what lies in a row's window is a run of that
-    order. Directions are counted in turn, and after the first ones only pairs
-    that can still reach the count go on.
+    Projections are put on a grid of 1/4096, windows being widened by a step,
+    so that a block's windows on a direction are one comparison of 16-bit
+    integers: what lies below a window wraps around. Rows are taken in order of
+    their first projection, so that blocks far apart on it aren't compared:
+    windows of the share MISS leave out no more pairs than the count does.
     """
-    count = np.zeros((len(one), len(two)), np.uint8)
-    first = min(one.shape[1], max(1, one.shape[1] - least + 8))
-    for j in range(first):
-        order = np.argsort(two[:, j], kind="stable")
-        line = two[order, j]
-        low, high = np.searchsorted(line, one[:, j] - half, "left"), np.searchsorted(line, one[:, j] + half, "right")
-        edge = np.zeros((len(one), len(two) + 1), np.int8)
-        row = np.arange(len(one))
-        edge[row, low] += 1
-        np.subtract.at(edge, (row, high), 1)
-        count[:, order] += np.cumsum(edge[:, :-1], axis=1, dtype=np.int8).view(np.uint8)
-    a, b = np.nonzero(count >= max(0, least - (one.shape[1] - first)))
-    total = count[a, b].astype(np.int64)
-    for at in range(0, len(a), 1 << 18):
-        part = slice(at, at + (1 << 18))
-        total[part] += (np.abs(one[a[part], first:] - two[b[part], first:]) <= half).sum(axis=1)
-    good = total >= least
-    return a[good], b[good]
+    found = []
+    rows, columns = np.argsort(one[:, 0], kind="stable"), np.argsort(two[:, 0], kind="stable")
+    span = half / REACH * math.sqrt(2) * _erfinv(1 - MISS)
+    grid = lambda x: np.rint(np.clip(x, -7.9, 7.9) * 4096).astype(np.int16).T.copy()
+    a, b, step = grid(one[rows]), grid(two[columns]), math.ceil(half * 4096) + 1
+    low, line = b - np.int16(step), two[columns, 0]
+    for r in range(0, len(rows), 256):
+        r_end = min(r + 256, len(rows))
+        begin = int(np.searchsorted(line, one[rows[r], 0] - span, "left"))
+        end = int(np.searchsorted(line, one[rows[r_end - 1], 0] + span, "right"))
+        for c in range(begin, end, 2048):
+            c_end = min(c + 2048, end)
+            count = np.zeros((r_end - r, c_end - c), np.uint8)
+            apart = np.empty(count.shape, np.int16)
+            for j in range(len(a)):
+                np.subtract(a[j, r:r_end, None], low[j, None, c:c_end], out=apart)
+                count += (apart.view(np.uint16) <= 2 * step).view(np.uint8)
+            x, y = np.nonzero(count >= least)
+            found.append((rows[r + x], columns[c + y]))
+    return tuple(np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(2))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
