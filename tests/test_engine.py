@@ -218,3 +218,58 @@ def test_crc32c_of_every_payload(spark, tmp_path):
     spark.createDataFrame(rows, "event_id bigint, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = QUERIES["crc32c_props"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(i, None if t is None else crc(t.encode())) for i, t in rows]
+
+
+def test_database_prunes_and_bounds(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    for part in (b"ab", b"mn", b"yz"):
+        for c in part:
+            db.put(bytes([c]), b"v" + bytes([c]))
+        db.flush()
+    assert len(db._tables(b"m", b"n").inputFiles()) == 1 and db._tables(b"c", b"l").count() == 0
+    assert db.get(b"n") == b"vn"
+    assert rows(db.scan(low=b"b", high=b"y")) == [(b"b", 2, b"vb"), (b"m", 3, b"vm"), (b"n", 4, b"vn")]
+    snap = db.last_seq
+    db.delete(b"b")
+    cursor_ = db.cursor().seek_to_first()
+    assert cursor_.next().key() == b"m" and db.cursor(snap).seek(bytearray(b"b")).key() == b"b"
+    assert db.versions().seek(bytearray(b"b"))._here().op == 0
+    db.close()
+
+
+def test_database_refuses(spark, tmp_path):
+    with pytest.raises(StoreError):
+        Database(spark, str(tmp_path / "other"), Options(comparator="other"))
+    db = Database(spark, str(tmp_path / "db"))
+    db.put(b"a", b"1")
+    for bad in ([(b"b", 1, 1, b"x")], [(b"b", 5, 1, b"x"), (b"b", 5, 1, b"y")]):
+        with pytest.raises(StoreError):
+            db.append(spark.createDataFrame(bad, LOG))
+    db.append(spark.createDataFrame([(b"b", 5, 1, b"x")], LOG))
+    assert db.last_seq == 5 and db.get(b"b") == b"x"
+    db.put(b"c", b"3")
+    db._add_table = lambda *a, **k: 1 / 0  # a flush that fails
+    with pytest.raises(ZeroDivisionError):
+        db.flush()
+    for again in (lambda: db.put(b"d", b"4"), db.flush):
+        with pytest.raises(StoreError):
+            again()
+    db.close()
+    back = Database(spark, db.path)
+    assert (back.get(b"a"), back.get(b"b"), back.get(b"c"), back.last_seq) == (b"1", b"x", b"3", 6)
+    back._state.next_file = 1
+    with pytest.raises(StoreError):
+        back._publish()
+    back.close()
+    (tmp_path / "db" / (tmp_path / "db" / "CURRENT").read_text().strip()).write_bytes(b"\1" * 40)
+    with pytest.raises(StoreError):
+        Database(spark, db.path)
+
+
+def test_crc32c_of_long_bytes():
+    rng = random.Random(9)
+    for n in (255, 256, 257, 1000, 4096, 70_001):
+        data, c = rng.randbytes(n), 0xFFFFFFFF
+        for b in data:
+            c = codec.CRC_TABLE[(c ^ b) & 255] ^ (c >> 8)
+        assert codec.crc32c_bytes(data) == c ^ 0xFFFFFFFF

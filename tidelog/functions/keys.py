@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidelog.schema import MAX_SEQ, OP_PUT
+
 FILE_PATTERN = r"^(?:(CURRENT)|(LOCK)|(LOG|LOG\.old)|MANIFEST-([0-9]+)|([0-9]+)\.(log|ldb|dbtmp))$"
 
 
@@ -40,6 +42,23 @@ def successor(key: Column) -> Column:
     return F.when(first.isNotNull(), _bumped(key, first)).otherwise(key)
 
 
+def _shortened(key: Column, short: Column, seq: Column, op: Column) -> Column:
+    """A shorter user key stands before all its versions; else the version itself stays."""
+    cut = (F.octet_length(short) < F.octet_length(key)) & (short > key)
+    first = F.struct(short.alias("k"), F.lit(MAX_SEQ).cast("bigint").alias("seq"), F.lit(OP_PUT).alias("op"))
+    return F.when(cut, first).otherwise(F.struct(key.alias("k"), seq.cast("bigint").alias("seq"), op.cast("int").alias("op")))
+
+
+def internal_separator(start: Column, seq: Column, op: Column, limit: Column) -> Column:
+    """A short version ``(k, seq, op)`` at or after ``(start, seq, op)`` and before all versions of ``limit``."""
+    return _shortened(start, separator(start, limit), seq, op)
+
+
+def internal_successor(key: Column, seq: Column, op: Column) -> Column:
+    """A short version at or after the given one."""
+    return _shortened(key, successor(key), seq, op)
+
+
 def log_name(number: Column) -> Column:
     return F.format_string("%06d.log", number)
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
+import tempfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import codec, filters, keys
 from tidelog.operators import batch, cursor, resolve
+from tidelog.operators.batch import WriteBatch
 from tidelog.plans import manifest, storage
-from tidelog.schema import MAX_SEQ, OP_PUT, tag
+from tidelog.plans.engine import Database
+from tidelog.schema import MAX_SEQ, OP_PUT, StoreError, tag
+from tidelog.sources import manifest_file, table_file, wal
 from tidelog.sources.tables import event_log, table
 
 SNAP = 5000
@@ -240,7 +247,17 @@ def rotation_points(spark, d):
     return run.groupBy("buffer").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_COMMITS = """WITH RECURSIVE w AS (SELECT o_custkey % 64 AS queue, o_orderkey AS ticket, CAST(floor(o_totalprice * 4) AS BIGINT) AS size, o_orderpriority = '1-URGENT' AS sync,
+    row_number() OVER (PARTITION BY o_custkey % 64 ORDER BY o_orderkey) AS rn FROM orders),
+    g AS (SELECT queue, ticket, rn, CAST(0 AS BIGINT) AS grp, size AS used, CASE WHEN size <= 131072 THEN size + 131072 ELSE 1048576 END AS most, sync AS head FROM w WHERE rn = 1
+    UNION ALL SELECT w.queue, w.ticket, w.rn, CASE WHEN g.used + w.size > g.most OR (w.sync AND NOT g.head) THEN g.grp + 1 ELSE g.grp END,
+    CASE WHEN g.used + w.size > g.most OR (w.sync AND NOT g.head) THEN w.size ELSE g.used + w.size END,
+    CASE WHEN g.used + w.size > g.most OR (w.sync AND NOT g.head) THEN CASE WHEN w.size <= 131072 THEN w.size + 131072 ELSE 1048576 END ELSE g.most END,
+    CASE WHEN g.used + w.size > g.most OR (w.sync AND NOT g.head) THEN w.sync ELSE g.head END FROM g JOIN w ON w.queue = g.queue AND w.rn = g.rn + 1)
+    SELECT queue, ticket, grp AS commit_group FROM g"""
+
+
+@query(_COMMITS)
 def group_commit(spark, d):
     w = table(spark, d, "orders").select(
         (F.col("o_custkey") % 64).alias("queue"), F.col("o_orderkey").alias("ticket"),
@@ -313,6 +330,176 @@ def compact_with_snapshot(spark, d):
     return storage.compact(event_log(spark, d), SNAP)
 
 
+@query("""WITH n AS (SELECT p_partkey AS id, p_name AS a, p_brand AS b FROM part), s AS (SELECT *, chr(CAST(ascii(a) + 1 AS INT)) AS u FROM n)
+    SELECT id, CASE WHEN length(u) < length(a) THEN u ELSE a END AS k, CASE WHEN length(u) < length(a) THEN 72057594037927935 ELSE id END AS seq, 1 AS op FROM s""")
+def internal_successor(spark, d):
+    got = keys.internal_successor(F.encode("p_name", "UTF-8"), F.col("p_partkey"), F.lit(OP_PUT)).alias("i")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), got).select("id", F.decode("i.k", "UTF-8").alias("k"), "i.seq", "i.op")
+
+
+@query(f"""WITH s AS (SELECT c_custkey AS id, c_name AS a, c_mktsegment AS b FROM customer), p AS (SELECT *, {_PREFIX} AS n FROM s),
+    x AS (SELECT id, a, CASE WHEN n < least(len(a), len(b)) AND ascii(substr(a, n + 1, 1)) + 1 < ascii(substr(b, n + 1, 1)) THEN substr(a, 1, n) || chr(CAST(ascii(substr(a, n + 1, 1)) + 1 AS INT)) ELSE a END AS sep FROM p)
+    SELECT id, sep AS k, CASE WHEN length(sep) < length(a) THEN 72057594037927935 ELSE id END AS seq, CASE WHEN length(sep) < length(a) THEN 1 ELSE 0 END AS op FROM x""")
+def internal_separator(spark, d):
+    got = keys.internal_separator(F.encode("c_name", "UTF-8"), F.col("c_custkey"), F.lit(0), F.encode("c_mktsegment", "UTF-8")).alias("i")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), got).select("id", F.decode("i.k", "UTF-8").alias("k"), "i.seq", "i.op")
+
+
+# -- the engine and its files ----------------------------------------------------
+
+
+def _bytes_log(spark: SparkSession, d: str) -> DataFrame:
+    """Events as versions of byte keys and values."""
+    text = lambda c: F.encode(F.col(c).cast("string"), "UTF-8")
+    return event_log(spark, d).select(text("k").alias("k"), "seq", "op", text("v").alias("v"))
+
+
+def _read_back(rows: DataFrame) -> DataFrame:
+    key, value = F.decode("k", "UTF-8").cast("bigint"), F.decode("v", "UTF-8").cast("double")
+    return rows.select(key.alias("k"), *[c for c in ("seq", "op") if c in rows.columns], value.alias("v"))
+
+
+def _warehouse(spark: SparkSession) -> str:
+    """The warehouse's folder, which driver and executors share; the engine keeps its log and manifest by local calls."""
+    base = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+    os.makedirs(base, exist_ok=True)
+    return base
+
+
+def _database(spark: SparkSession) -> Database:
+    return Database(spark, tempfile.mkdtemp(dir=_warehouse(spark)))
+
+
+def _written(spark: SparkSession, d: str) -> Database:
+    """All events loaded, then two puts, a delete and a batch, each a write of its own; closed and opened again."""
+    db = _database(spark)
+    db.append(_bytes_log(spark, d), files=2)
+    db.put(b"7", b"0.25")
+    db.delete(b"3")
+    db.put(b"100000", b"1.5")
+    db.write(WriteBatch().put(b"100001", b"2.5").delete(b"100000"))
+    db.close()
+    return Database(spark, db.path)
+
+
+_MORE = f"""{_L}, m AS (SELECT max(seq) AS s FROM L), W AS (SELECT * FROM L UNION ALL SELECT 7, s + 1, 1, 0.25 FROM m UNION ALL SELECT 3, s + 2, 0, NULL FROM m
+    UNION ALL SELECT 100000, s + 3, 1, 1.5 FROM m UNION ALL SELECT 100001, s + 4, 1, 2.5 FROM m UNION ALL SELECT 100000, s + 5, 0, NULL FROM m)"""
+
+
+@query(f"WITH {_MORE} SELECT k, seq, v FROM (SELECT *, {_RANK} r FROM W) WHERE r = 1 AND op = 1")
+def db_recovered_scan(spark, d):
+    """Put, delete, batch, log replay on opening and a scan of memory and tables."""
+    return _read_back(_written(spark, d).scan())
+
+
+@query(f"WITH {_MORE} SELECT k, seq, v FROM (SELECT *, {_RANK} r FROM W) WHERE r = 1 AND op = 1 AND CAST(k AS VARCHAR) >= '1' AND CAST(k AS VARCHAR) < '3'")
+def db_compacted_range(spark, d):
+    """Flush, major compaction and a bounded scan that opens only tables whose range meets it."""
+    db = _written(spark, d)
+    db.flush()
+    db.compact(files=3)
+    return _read_back(db.scan(low=b"1", high=b"3"))
+
+
+@query(f"WITH {_MORE} SELECT k, v FROM (SELECT *, {_RANK} r FROM W WHERE k IN (3, 7, 12, 100000, 100001)) WHERE r = 1 AND op = 1")
+def db_get(spark, d):
+    """Single gets from memory and from pruned tables; deleted and absent keys aren't found."""
+    db, found = _written(spark, d), []
+    for k in (3, 7, 12, 99999, 100000, 100001):
+        with contextlib.suppress(StoreError):
+            found.append((k, float(db.get(str(k).encode()))))
+    return _values(spark, found, "k bigint, v double")
+
+
+@query(f"WITH {_MORE}, c AS (SELECT CAST(k AS VARCHAR) AS k FROM (SELECT *, {_RANK} r FROM W) WHERE r = 1 AND op = 1), o AS (SELECT k, row_number() OVER (ORDER BY k) AS step FROM c WHERE k >= '2') SELECT step, k FROM o WHERE step <= 5")
+def db_cursor(spark, d):
+    """Seek and four steps of a cursor over the live keys."""
+    c = _written(spark, d).cursor().seek(bytearray(b"2"))
+    found = []
+    while c.valid and len(found) < 5:
+        found.append((len(found) + 1, bytes(c.key()).decode()))
+        c.next()
+    return _values(spark, found, "step bigint, k string")
+
+
+@query(f"WITH {_L} SELECT k, seq, op, v FROM L")
+def wal_round_trip(spark, d):
+    """A thousand versions a log, ten a batch: framed, checksummed, read back and decoded."""
+    log = _bytes_log(spark, d).withColumn("path", F.format_string("%06d.log", F.floor(F.col("seq") / 1000)))
+    op = F.struct("seq", "op", "k", "v")
+    batches = log.groupBy("path", F.floor(F.col("seq") / 10).alias("n")).agg(F.array_sort(F.collect_list(op)).alias("o"))
+    made = batches.select("path", F.col("o")[0]["seq"].alias("base_seq"), F.transform("o", lambda x: F.struct(x["op"].alias("op"), x["k"].alias("k"), x["v"].alias("v"))).alias("ops"))
+    return _read_back(wal.decode_logs(wal.encode_logs(made)).where("status = 'OK'"))
+
+
+@query(f"WITH {_L} SELECT k, seq, op, v FROM L")
+def table_round_trip(spark, d):
+    """Blocks, index, filter, footer and checksums of binary table files, written and read back."""
+    rows = _bytes_log(spark, d).withColumn("path", F.format_string("%06d.ldb", F.floor(F.col("seq") / 2000)))
+    return _read_back(table_file.decode_tables(table_file.encode_tables(rows, compression=table_file.SNAPPY)).where("status = 'OK'"))
+
+
+@query(f"WITH {_L} SELECT k, seq, op, v FROM L")
+def table_files(spark, d):
+    """A flush to sorted files of disjoint key ranges, read through their metadata."""
+    folder = tempfile.mkdtemp(dir=_warehouse(spark))
+    storage.write_sorted(_bytes_log(spark, d), f"{folder}/t", 4)
+    return _read_back(spark.read.parquet(f"{folder}/t"))
+
+
+@query("""SELECT o_orderkey AS number, CAST(o_custkey % 7 AS BIGINT) AS level, o_orderkey + 1 AS next_file, o_orderpriority AS smallest, o_orderstatus AS largest,
+    CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 5 END AS deleted FROM orders""")
+def edit_round_trip(spark, d):
+    """Manifest edits in their binary form and back: a file added by each order, every second one deleting another."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("number"), (F.col("o_custkey") % 7).cast("bigint").alias("level"), F.col("o_orderpriority").alias("smallest"), F.col("o_orderstatus").alias("largest"))
+
+    def trip(parts):
+        for pdf in parts:
+            out = []
+            for number, level, lo, hi in zip(pdf["number"], pdf["level"], pdf["smallest"], pdf["largest"]):
+                edit = {"next_file": number + 1, "added": [(level, number, 10 * number, lo.encode(), hi.encode())], "deleted": [(level, number + 5)] if number % 2 == 0 else []}
+                back = manifest_file.decode_edit(manifest_file.encode_edit(edit))
+                (level_, number_, _, lo_, hi_) = back["added"][0]
+                out.append((number_, level_, back["next_file"], bytes(lo_).decode(), bytes(hi_).decode(), back["deleted"][0][1] if back["deleted"] else None))
+            yield pd.DataFrame(out, columns=["number", "level", "next_file", "smallest", "largest", "deleted"]).astype({"deleted": "Int64"})
+
+    return o.mapInPandas(trip, "number bigint, level bigint, next_file bigint, smallest string, largest string, deleted bigint")
+
+
+_GENERATED = """a AS (SELECT o_orderkey AS edit_id, CAST(o_custkey % 4 AS INT) AS level, o_orderkey % 997 AS number, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS is_add,
+    CASE WHEN o_orderstatus <> 'F' THEN lpad(CAST(o_custkey AS VARCHAR), 6, '0') END AS smallest_k, CASE WHEN o_orderstatus <> 'F' THEN lpad(CAST(o_custkey + 3 AS VARCHAR), 6, '0') END AS largest_k FROM orders),
+    f AS (SELECT level, number, smallest_k, largest_k FROM a QUALIFY row_number() OVER (PARTITION BY level, number ORDER BY edit_id DESC, is_add DESC) = 1 AND is_add = 1)"""
+
+
+def _generated_files(spark: SparkSession, d: str) -> DataFrame:
+    """The version after an edit by each order."""
+    o, add = table(spark, d, "orders"), F.col("o_orderstatus") != "F"
+    padded = lambda c: F.when(add, F.lpad(c.cast("string"), 6, "0"))
+    return manifest.fold(
+        o.select(
+            F.col("o_orderkey").alias("edit_id"), (F.col("o_custkey") % 4).cast("int").alias("level"), (F.col("o_orderkey") % 997).alias("number"), add.cast("int").alias("is_add"),
+            padded(F.col("o_custkey")).alias("smallest_k"), padded(F.col("o_custkey") + 3).alias("largest_k"),
+        )
+    )
+
+
+@query(f"WITH {_GENERATED} SELECT * FROM f")
+def version_of_edits(spark, d):
+    return _generated_files(spark, d)
+
+
+@query(f"""WITH {_GENERATED} SELECT * EXCLUDE (m) FROM (SELECT *, max(largest_k) OVER (PARTITION BY level ORDER BY smallest_k, number
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM f WHERE level > 0) WHERE m >= smallest_k""")
+def overlaps_of_edits(spark, d):
+    return manifest.overlaps(_generated_files(spark, d))
+
+
+@query(f"WITH {_GENERATED}, n AS (SELECT o_orderkey % 1500 AS num FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1) SELECT printf('%06d.ldb', num) AS name, 'table' AS kind, num AS number FROM n WHERE num NOT IN (SELECT number FROM f)")
+def garbage_of_edits(spark, d):
+    listing = table(spark, d, "orders").where(F.col("o_custkey") % 3 == 0).select(keys.table_name(F.col("o_orderkey") % 1500).alias("name")).distinct()
+    return manifest.obsolete(listing, _generated_files(spark, d), 0, 0)
+
+
 # -- manifest ------------------------------------------------------------------
 
 _EDITS = [
@@ -412,7 +599,28 @@ def fnv1_hash(spark, d):
     return e.select("event_type", filters.fnv1(F.encode("event_type", "UTF-8")).alias("h"))
 
 
-@query()
+def _bloom(asked: str) -> str:
+    """SQL of the same bits: six probes a key from its FNV-1 hash, ten bits a distinct hash, 64 at least, in whole bytes."""
+    h = "CAST(list_reduce(list_transform(range(1, len(x) + 1), lambda i: CAST(ascii(substr(x, i, 1)) AS BIGINT)), lambda h, b: xor((h * 16777619) & 4294967295, b), CAST(2166136261 AS BIGINT)) AS BIGINT)"
+    spots = "list_transform(range(0, 6), lambda i: ((h + i * (((h >> 17) | (h << 15)) & 4294967295)) & 4294967295) % bits)"
+    return f"""WITH k AS (SELECT p_partkey, p_partkey % 8 AS grp, CAST(p_partkey AS VARCHAR) AS x FROM part), a AS (SELECT p_partkey, grp, {asked} AS x FROM k),
+        kh AS (SELECT grp, {h} AS h FROM k), n AS (SELECT grp, ((greatest(64, count(DISTINCT h) * 10) + 7) // 8) * 8 AS bits FROM kh GROUP BY grp),
+        s AS (SELECT grp, list(DISTINCT p) AS spots FROM (SELECT kh.grp, unnest({spots}) AS p FROM kh JOIN n ON n.grp = kh.grp) GROUP BY grp),
+        ah AS (SELECT p_partkey, grp, {h} AS h FROM a)
+        SELECT p_partkey, list_has_all(s.spots, {spots}) AS may_match FROM ah JOIN n ON n.grp = ah.grp JOIN s ON s.grp = ah.grp"""
+
+
+@query(_bloom("x || '/absent'"))
+def bloom_absent(spark, d):
+    """Probes of keys that no filter holds: the same ones pass by chance."""
+    part = table(spark, d, "part").select((F.col("p_partkey") % 8).alias("grp"), F.col("p_partkey"))
+    text = F.col("p_partkey").cast("string")
+    built = filters.build_filters(part.select("grp", F.encode(text, "UTF-8").alias("k")), "grp")
+    asked = F.encode(F.concat(text, F.lit("/absent")), "UTF-8")
+    return part.join(built, "grp").select("p_partkey", filters.may_match(asked, F.col("filter")).alias("may_match"))
+
+
+@query(_bloom("x"))
 def bloom_probe(spark, d):
     part = table(spark, d, "part").select((F.col("p_partkey") % 8).alias("grp"), F.col("p_partkey"))
     key = F.encode(F.col("p_partkey").cast("string"), "UTF-8")
@@ -421,7 +629,7 @@ def bloom_probe(spark, d):
     return asked
 
 
-@query()
+@query("SELECT CAST(p_partkey * 37 // 2048 AS BIGINT) AS slot, count(*) AS n, count(*) AS n_match FROM part GROUP BY 1")
 def filter_block(spark, d):
     chunks = table(spark, d, "part").select((F.col("p_partkey") * 37).alias("block_offset"), F.encode("p_name", "UTF-8").alias("k"))
     hit = filters.probe_block(chunks, filters.filter_block(chunks))

@@ -29,6 +29,10 @@ EDITS = (
 )
 
 
+#: Key orders that the engine has; a database that was written in another one isn't opened.
+COMPARATORS = ("bytewise",)
+
+
 @dataclass(frozen=True)
 class Options:
     """Engine options; immutable, so one object can open many databases."""

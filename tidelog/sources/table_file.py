@@ -152,7 +152,11 @@ def decode_table(data: bytes, verify: bool = True) -> Iterator[tuple[bytes, int,
 
 def read_tables(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
     """Table files to ``(path, status, k, seq, op, v)``; a corrupt file ends with its status on each of its rows."""
+    return decode_tables(spark.read.format("binaryFile").load(path).select("path", "content"), verify)
 
+
+def decode_tables(files: DataFrame, verify: bool = True) -> DataFrame:
+    """As ``read_tables``, of ``files(path, content)``."""
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
@@ -168,5 +172,14 @@ def read_tables(spark: SparkSession, path: str, verify: bool = True) -> DataFram
                 out.insert(0, "path", name)
                 yield out
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(decode, "path string, status string, k binary, seq bigint, op int, v binary")
+
+
+def encode_tables(rows: DataFrame, bits_per_key: int = 10, compression: int = PLAIN) -> DataFrame:
+    """``rows(path, k, seq, op, v)`` to ``(path, content)``: the rows of a path are one table file, in version order."""
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        versions = sorted(((bytes(k), int(s), int(o), None if v is None else bytes(v)) for k, s, o, v in zip(pdf["k"], pdf["seq"], pdf["op"], pdf["v"])), key=lambda r: (r[0], -r[1], -r[2]))
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [encode_table(versions, bits_per_key, compression)]})
+
+    return rows.groupBy("path").applyInPandas(encode, "path string, content binary")

@@ -93,7 +93,11 @@ def read_logs(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
 
     A corrupt file without whole records gives one row of nulls with its status.
     """
+    return decode_logs(spark.read.format("binaryFile").load(path).select("path", "content"), verify)
 
+
+def decode_logs(files: DataFrame, verify: bool = True) -> DataFrame:
+    """As ``read_logs``, of ``files(path, content)``."""
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
@@ -113,5 +117,19 @@ def read_logs(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
                 out.insert(0, "path", name)
                 yield out
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(decode, "path string, status string, k binary, seq bigint, op int, v binary")
+
+
+def encode_logs(batches: DataFrame) -> DataFrame:
+    """``batches(path, base_seq, ops)`` to ``(path, content)``: the batches of a path are one log, in order of their sequence.
+
+    A log is as large as its writer lets it grow, so one task frames it.
+    """
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        records = []
+        for seq, ops in sorted(zip(pdf["base_seq"], pdf["ops"]), key=lambda r: r[0]):
+            records.append(encode_batch(int(seq), WriteBatch((o["op"], bytes(o["k"]), None if o["v"] is None else bytes(o["v"])) for o in ops)))
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [frame(records)]})
+
+    return batches.groupBy("path").applyInPandas(encode, "path string, content binary")

@@ -24,7 +24,7 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, each: Callable[[DataFr
 
     def commit(df: DataFrame, number: int) -> None:
         rows = each(df) if each else df
-        dedup_first(rows.withColumn("_at", F.lit(0)), "_at").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        dedup_first(rows.withColumn("_at", F.monotonically_increasing_id()), "_at").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
