@@ -273,3 +273,25 @@ def test_crc32c_of_long_bytes():
         for b in data:
             c = codec.CRC_TABLE[(c ^ b) & 255] ^ (c >> 8)
         assert codec.crc32c_bytes(data) == c ^ 0xFFFFFFFF
+
+
+def test_byte_keys_spread_over_ranges(spark):
+    urls = [f"https://site{i % 97}.org/page/{i}" for i in range(5000)] + ["ftp://one", "", "zzz"]
+    keys_ = spark.createDataFrame([(u.encode(),) for u in urls], "k binary")
+    got = cursor.ranged(keys_, keys_, "k", 8).collect()
+    sizes = [sum(r._b == b for r in got) for b in range(8)]
+    assert sum(sizes) == len(urls) and max(sizes) < 2 * len(urls) / 8
+    line = sorted((bytes(r.k), r._b) for r in got)
+    assert [b for _, b in line] == sorted(b for _, b in line)
+    found = cursor.neighbours(keys_, keys_.select(F.col("k").alias("t")), "gt").collect()
+    order = sorted(u.encode() for u in urls)
+    assert {bytes(r.t): r.found and bytes(r.found) for r in found} == dict(zip(order, [*order[1:], None]))
+
+
+def test_rotation_over_groups_of_blocks(spark):
+    log = spark.range(1, 30_000, 7).select(F.col("id").alias("seq"), F.lit(1).alias("op"), (F.col("id") % 50 + 1).alias("sz"))
+    got = batch.rotation(log, "sz", 1000, 2).orderBy("seq").collect()
+    total = 0
+    for r in got:
+        total += r.sz
+        assert (r.cum_bytes, r.buffer) == (total, (total - 1) // 1000)

@@ -81,14 +81,18 @@ def entry_bytes(key_len: Column, value_len: Column) -> Column:
 def rotation(log: DataFrame, size: str, buffer_bytes: int, block: int = 1 << 16) -> DataFrame:
     """Number of the write buffer each record falls into, by cumulative bytes in sequence order.
 
-    Totals of sequence blocks come first; only those few rows pass through one
-    ordered window, and the rest runs inside blocks.
+    Totals of sequence blocks come first, then those of 4,096 blocks each; only
+    the latter, one row in some 270 million sequences, pass through one ordered
+    window, and the rest runs inside groups of blocks and inside blocks.
     """
     rows = log.withColumn("_b", F.floor(F.col("seq") / block))
-    totals = rows.groupBy("_b").agg(F.sum(size).alias("_t"))
-    base = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_base"))
+    totals = rows.groupBy("_b").agg(F.sum(size).alias("_t")).withColumn("_g", F.floor(F.col("_b") / 4096))
+    groups = totals.groupBy("_g").agg(F.sum("_t").alias("_s"))
+    over = groups.select("_g", (F.sum("_s").over(Window.orderBy("_g")) - F.col("_s")).alias("_over"))
+    within = F.sum("_t").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_t")
+    base = totals.select("_g", "_b", within.alias("_within")).join(over, "_g").select("_b", (F.col("_over") + F.col("_within")).alias("_base"))
     inside = Window.partitionBy("_b").orderBy("seq", "op")
-    run = rows.join(F.broadcast(base), "_b").withColumn("cum_bytes", F.col("_base") + F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    run = rows.join(base, "_b").withColumn("cum_bytes", F.col("_base") + F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     return run.withColumn("buffer", F.floor((F.col("cum_bytes") - 1) / buffer_bytes)).drop("_b", "_base")
 
 

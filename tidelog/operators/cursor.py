@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tidelog.schema import version_order
 
@@ -62,38 +63,25 @@ def neighbours(log: DataFrame, targets: DataFrame, how: str = "ge", width: int |
     return near.join(F.broadcast(carry), "_b", "left").select(F.col("_x").alias("t"), F.coalesce("_n", "_c").alias("found"))
 
 
-_NUMERIC = ("byte", "short", "integer", "long", "float", "double")
+#: Keys of the sample that ranges are cut by, for each range.
+SAMPLE = 64
 
 
 def ranged(rows: DataFrame, keys: DataFrame, column: str, parts: int | None = None) -> DataFrame:
     """``rows`` with ``_b``, a range number that never falls as ``column`` rises; equal values share a range.
 
-    Ranges are cut at quantiles of ``keys``: of the values if they are numbers,
-    of the six bytes after the common prefix if they are strings or bytes.
-    Other types are one range.
+    Ranges are cut at whole values of ``keys``: quantiles of those whose hashes
+    are least, ``SAMPLE`` for each range. The sample only balances the ranges;
+    it is the same in every run, and its size doesn't grow with the rows.
     """
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = keys.schema[column].dataType.typeName()
-    if kind in _NUMERIC:
-        place = lambda c: c
-    elif kind in ("string", "binary"):
-        low, high = keys.agg(F.min(F.col(column).cast("binary")), F.max(F.col(column).cast("binary"))).first()
-        low, high = bytes(low or b""), bytes(high or b"")
-        shared = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
-
-        def place(c: Column) -> Column:
-            c = c.cast("binary")
-            digits = F.rpad(F.hex(F.substring(c, shared + 1, 6)), 12, "0")
-            inside = F.conv(digits, 16, 10).cast("bigint")
-            return F.when(c < F.lit(bytearray(low)), -1).when(c > F.lit(bytearray(high)), 1 << 48).otherwise(inside)
-
-    else:
-        return rows.withColumn("_b", F.lit(0))
     if n < 2:
         return rows.withColumn("_b", F.lit(0))
-    cuts = keys.select(F.percentile_approx(place(F.col(column)), [i / n for i in range(1, n)], 10000).alias("_cuts"))
-    spot = rows.withColumn("_at", place(F.col(column))).crossJoin(F.broadcast(cuts))
-    return spot.withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_at"))), F.lit(0))).drop("_at", "_cuts")
+    sample = sorted(r[0] for r in keys.where(F.col(column).isNotNull()).select(column).orderBy(F.xxhash64(column)).limit(n * SAMPLE).collect())
+    cuts = sorted({x if not isinstance(x, bytearray) else bytes(x) for x in (sample[len(sample) * i // n] for i in range(1, n))}) if sample else []
+    kind = keys.schema[column].dataType
+    limits = F.array(*[F.lit(x).cast(kind) for x in cuts]).cast(ArrayType(kind))
+    return rows.withColumn("_b", F.coalesce(F.size(F.filter(limits, lambda c: c < F.col(column))), F.lit(0)))
 
 
 def with_next(log: DataFrame) -> DataFrame:

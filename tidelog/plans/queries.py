@@ -699,7 +699,8 @@ def status_text(spark, d):
 def internal_compare(spark, d):
     """Order of each version against the one written before it."""
     log = event_log(spark, d)
-    before = log.select((F.col("seq") + 1).alias("seq"), F.col("k").alias("pk"), tag().alias("pt"))
+    earlier = cursor.neighbours(log.select(F.col("seq").alias("k")), log.select(F.col("seq").alias("t")), "lt").where("found IS NOT NULL")
+    before = earlier.join(log.select(F.col("seq").alias("found"), F.col("k").alias("pk"), tag().alias("pt")), "found").select(F.col("t").alias("seq"), "pk", "pt")
     cmp = F.when(F.col("k") < F.col("pk"), -1).when(F.col("k") > F.col("pk"), 1).when(tag() > F.col("pt"), -1).otherwise(1)
     return log.join(before, "seq").select("seq", cmp.alias("cmp"))
 
