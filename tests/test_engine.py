@@ -3,6 +3,7 @@
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,3 +296,33 @@ def test_rotation_over_groups_of_blocks(spark):
     for r in got:
         total += r.sz
         assert (r.cum_bytes, r.buffer) == (total, (total - 1) // 1000)
+
+
+def test_crc32c_of_rows(spark):
+    rng = random.Random(4)
+    rows = [None, b"", b"123456789", *(rng.randbytes(n) for n in (1, 2, 255, 256, 300, 5000)), None, b"123456789"]
+    want = [None if x is None else codec.crc32c_bytes(x) for x in rows]
+    for kind in (pa.binary(), pa.large_binary()):
+        data = pa.array(rows, kind)
+        assert codec.crc32c_rows(data).to_pylist() == want
+        assert codec.crc32c_rows(data[2:7]).to_pylist() == want[2:7] and codec.crc32c_rows(data[:0]).to_pylist() == []
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, x binary")
+    assert dict(df.select("i", codec.crc32c(F.col("x"))).collect()) == dict(enumerate(want))
+
+
+def test_replay_of_a_batch():
+    said = []
+    made = WriteBatch().put(b"a", b"1").delete(b"b").put(b"", b"")
+    made.replay(lambda k, v: said.append((k, v)), lambda k: said.append((k,)))
+    assert said == [(b"a", b"1"), (b"b",), (b"", b"")]
+
+
+def test_unfinished_table_is_abandoned(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    bad = spark.range(3, 6).select(F.lit(b"k").alias("k"), F.col("id").alias("seq"), F.lit(1).alias("op"), F.raise_error(F.lit("no value")).cast("binary").alias("v"))
+    with pytest.raises(Exception, match="no value"):
+        db.append(bad)
+    assert not list((tmp_path / "db").glob("*.ldb"))
+    with pytest.raises(StoreError):
+        db.put(b"a", b"1")
+    db.close()

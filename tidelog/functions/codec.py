@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tidelog.schema import MASK_DELTA, U32, StoreError
 
@@ -74,14 +76,32 @@ def byte_values(x: Column) -> Column:
     return F.transform(at, lambda i: F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint"))
 
 
+def crc32c_rows(data: pa.Array) -> pa.Array:
+    """CRC-32C of each value of a batch, null of null: short ones step side by side, byte by byte, longest first; long ones by lanes."""
+    data = data.cast(pa.large_binary())
+    ends = np.frombuffer(data.buffers()[1] or bytes(8), np.int64)[data.offset : data.offset + len(data) + 1]
+    body = np.frombuffer(data.buffers()[2] or b"", np.uint8)
+    null = data.is_null().to_numpy(zero_copy_only=False)
+    size, out, table = np.where(null, 0, np.diff(ends)), np.zeros(len(data), np.int64), np.array(CRC_TABLE, np.uint32)
+    short = np.flatnonzero(size < 4 * _LANE)
+    short = short[np.argsort(-size[short], kind="stable")]
+    at, left, state = ends[short], -size[short], np.full(len(short), U32, np.uint32)
+    for i in range(-left[0] if len(short) else 0):
+        n = np.searchsorted(left, -i)
+        state[:n] = table[(state[:n] ^ body[at[:n] + i]) & 255] ^ (state[:n] >> 8)
+    out[short] = state ^ np.uint32(U32)
+    for i in np.flatnonzero(size >= 4 * _LANE):
+        out[i] = crc32c_bytes(body[ends[i] : ends[i + 1]].tobytes())
+    return pa.array(out, mask=null)
+
+
 def crc32c(x: Column) -> Column:
-    """CRC-32C (Castagnoli) of a binary column, on the JVM."""
-    table = F.array(*[F.lit(v).cast("bigint") for v in CRC_TABLE])
+    """CRC-32C (Castagnoli) of a binary column, in Arrow batches; null of null."""
 
-    def step(c: Column, b: Column) -> Column:
-        return F.element_at(table, (c.bitwiseXOR(b).bitwiseAND(F.lit(255)) + 1).cast("int")).bitwiseXOR(F.shiftrightunsigned(c, 8))
+    def rows(data: pa.Array) -> pa.Array:
+        return crc32c_rows(data)
 
-    return F.aggregate(byte_values(x), F.lit(U32).cast("bigint"), step, lambda c: c.bitwiseXOR(F.lit(U32)))
+    return F.arrow_udf(rows, LongType())(x)
 
 
 def mask_crc(c: Column) -> Column:

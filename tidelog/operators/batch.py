@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +33,11 @@ class WriteBatch:
     def clear(self) -> None:
         self.ops = []
 
+    def replay(self, put: Callable[[bytes, bytes], None], delete: Callable[[bytes], None]) -> None:
+        """Hand each operation, in order, to the callback of its kind; a callback that raises ends it."""
+        for op, k, v in self.ops:
+            put(k, v) if op == OP_PUT else delete(k)
+
     def __len__(self) -> int:
         return len(self.ops)
 

@@ -648,8 +648,7 @@ def crc32c(spark, d):
 
 @query()
 def crc32c_props(spark, d):
-    crc = F.when(F.col("props").isNotNull(), codec.crc32c(F.encode("props", "UTF-8")))
-    return table(spark, d, "events").select("event_id", crc.alias("crc"))
+    return table(spark, d, "events").select("event_id", codec.crc32c(F.encode("props", "UTF-8")).alias("crc"))
 
 
 @query("SELECT event_id, (((event_id * 2654435761 & 4294967295) >> 15 | ((event_id * 2654435761 & 4294967295) << 17 & 4294967295)) + 2726488792) & 4294967295 AS masked FROM events")
