@@ -239,6 +239,23 @@ def test_collision_counts_miss_no_near_pair():
     assert len(a) < 0.05 * len(x) ** 2
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (1, [0.0, 0.0, 1.0], 0), (1, [0.0, 1.0, 0.0], 1), (3, [0.0, 1.0, 0.01], 1), (4, [0.0, 1.0, 0.02], 1)]
+    got = embedding_dedup.linked(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(1, 1, 1), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
+
+
+def test_copies_and_empty_texts_of_a_hot_group(spark):
+    rng = random.Random(8)
+    hot, lone = sentence(rng, 60, 5000), [sentence(rng, 60, 5000) for _ in range(20)]
+    rows = [(i, hot) for i in range(5, 300)] + [(i, None if i % 2 else " ") for i in range(300, 400)] + [(400 + i, t) for i, t in enumerate(lone)] + [(None, hot), (None, None), (3, hot + " tail")]
+    got = minhash_dedup.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    named = {r.doc_id: (r.component_id, r.kept) for r in got if r.doc_id is not None}
+    assert named == {i: (3, i == 3) if i < 300 else (i, True) for i in [3, *range(5, 420)]}
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, False)] * 2
+
+
 def test_pipeline_by_brute_force(spark, tmp_path):
     """All four stages: what each drops, and the ids and places of what is packed."""
     import corpus_pipeline

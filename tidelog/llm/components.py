@@ -12,10 +12,11 @@ from tidelog.llm.common import keep
 SALTS = 8
 
 
-def _to_least(rows: DataFrame, least: DataFrame) -> DataFrame:
-    """``rows(u, v)`` with the ``m`` of their ``u``; neighbours of one node are dealt over several tasks."""
+def to_least(rows: DataFrame, least: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows(u, v)`` with the ``m`` of their ``u`` in ``least(u, m)``; neighbours of one node are dealt over several tasks."""
     salted = rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    return salted.join(least.withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["u", "s"])
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    return salted.join(least.withColumn("s", every), ["u", "s"], how)
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
@@ -23,11 +24,11 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     if larger:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        linked = _to_least(both.where("v > u"), least).select(F.col("m").alias("a"), F.col("v").alias("b"))
+        linked = to_least(both.where("v > u"), least).select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
         down = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        linked = _to_least(down, least).select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        linked = to_least(down, least).select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
     return linked.where("a < b").distinct()
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tidelog.llm.common import chunks, distinct_per_text, keep, mix, sent_if_few, shingles, words
-from tidelog.llm.components import components
+from tidelog.llm.components import components, to_least
 
 REGISTERS = 256  # a power of two
 #: Most registers of a band, and the most likely that a pair at the threshold shares no band.
@@ -353,7 +353,7 @@ def with_digest(rows: DataFrame, width: int = 5) -> DataFrame:
 def classes(docs: DataFrame, percent: int = 85, width: int = 5, registers: int = REGISTERS) -> DataFrame:
     """``doc_id, n_shingles, digest, component`` of every row; rows without a set or an id have no component."""
     base = keep(sketched(docs, width, registers))
-    firsts = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    firsts = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     sets = keep(firsts.withColumn("cls", F.monotonically_increasing_id()))
     edges = likely(sets, percent)
     family = components(edges).select(F.col("node").alias("cls"), F.col("component").alias("family"))
@@ -378,9 +378,15 @@ def classes(docs: DataFrame, percent: int = 85, width: int = 5, registers: int =
     joined = keep(components(keep(links, edges)), texts, large)
     least = sets.select("cls", "rep").join(joined.select(F.col("node").alias("cls"), F.col("component").alias("whole")), "cls")
     whole = least.groupBy("whole").agg(F.min("rep").alias("component"))
-    ends = sets.select("digest", "cls", "rep").join(joined.select(F.col("node").alias("cls"), F.col("component").alias("whole")), "cls", "left").join(whole, "whole", "left")
-    by_set = ends.select("digest", F.coalesce("component", "rep").alias("component"))
-    return base.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left").withColumn("component", F.when(F.col("doc_id").isNotNull(), F.col("component")))
+    placed = to_least(least.select(F.col("whole").alias("u"), F.col("cls").alias("v")), whole.select(F.col("whole").alias("u"), F.col("component").alias("m")))
+    ends = sets.select("digest", "cls", "rep", "copies").join(placed.select(F.col("v").alias("cls"), F.col("m").alias("component")), "cls", "left")
+    # A set of one row without links is its own component; only the others are looked up, copies of one set by several tasks.
+    shared = ends.where("copies > 1 OR component IS NOT NULL").select(F.col("digest").alias("u"), F.coalesce("component", "rep").alias("m"))
+    rows = base.select("doc_id", "n_shingles", "digest")
+    able = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
+    found = to_least(rows.where(able).select(F.col("digest").alias("u"), F.col("doc_id").alias("v"), "n_shingles"), shared, "left")
+    own = found.select(F.col("v").alias("doc_id"), "n_shingles", F.col("u").alias("digest"), F.coalesce("m", "v").alias("component"))
+    return own.unionByName(rows.where(~able).withColumn("component", F.lit(None).cast(docs.schema["doc_id"].dataType)))
 
 
 def deduplicate(docs: DataFrame, percent: int = 85, width: int = 5, registers: int = REGISTERS) -> DataFrame:
