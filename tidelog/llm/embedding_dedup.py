@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import keep
-from tidelog.llm.components import components
+from tidelog.llm.components import components, to_least
 
 DIRECTIONS = 48
 #: Window half-width in distances of a pair at the threshold.
@@ -151,7 +151,8 @@ def linked(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     and a spanning forest, so a group of any size gives linear results.
     """
     rows = keep(prepared(vectors))
-    classes = keep(rows.groupBy("label", "dim", "unit").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("spot").alias("spot")))
+    # Classes are numbered: an id may stand in several of them.
+    classes = keep(rows.groupBy("label", "dim", "unit").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("spot").alias("spot")).withColumn("cls", F.monotonically_increasing_id()))
     # Strips of about STRIP classes: ranges of the first projection, cut where a label's counts say.
     cells = classes.withColumn("cell", F.floor(F.col("spot") * 256).cast("int"))
     per_cell = cells.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("spot").alias("lo"), F.max("spot").alias("hi"))
@@ -167,21 +168,20 @@ def linked(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     near = (F.col("x.label") == F.col("y.label")) & (F.col("x.dim") == F.col("y.dim")) & (F.col("x.id") <= F.col("y.id")) & (F.col("y.lo") - F.col("x.hi") <= span) & (F.col("x.lo") - F.col("y.hi") <= span)
     meetings = keep(one.join(two, near).select(F.col("x.label").alias("label"), F.col("x.dim").alias("dim"), F.col("x.id").alias("xi"), F.col("y.id").alias("yi")))
     placed = cells.join(ranges.select("label", "dim", "cell", "strip"), ["label", "dim", "cell"]).join(strips.select("label", "dim", "strip", "n"), ["label", "dim", "strip"])
-    part = F.pmod(F.xxhash64("rep", "unit"), F.ceil(F.col("n") / (2 * STRIP))).cast("int")
-    member = placed.select("label", "dim", "rep", "copies", "unit", (F.col("strip") * F.lit(1 << 20) + part).cast("bigint").alias("id"))
+    part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / (2 * STRIP))).cast("int")
+    member = placed.select("label", "dim", "cls", "copies", "unit", (F.col("strip") * F.lit(1 << 20) + part).cast("bigint").alias("id"))
     left = meetings.select("label", "dim", "xi", "yi", F.col("xi").alias("id"), F.lit(0).alias("side"))
     right = meetings.where("xi < yi").select("label", "dim", "xi", "yi", F.col("yi").alias("id"), F.lit(1).alias("side"))
-    dealt = member.join(left.unionByName(right), ["label", "dim", "id"]).select("label", "dim", "xi", "yi", "side", "rep", "copies", "unit")
-    kind = vectors.schema["vec_id"].dataType.simpleString()
+    dealt = member.join(left.unionByName(right), ["label", "dim", "id"]).select("label", "dim", "xi", "yi", "side", "cls", "copies", "unit")
     least = calibrated_count()
 
     def compare(table: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
         side = table.column("side").to_numpy()
-        rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
+        cls, copies = table.column("cls").to_numpy(), table.column("copies").to_numpy()
         unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), float).reshape(-1, dim)
-        order = np.lexsort((rep, side))
-        side, rep, copies, unit = side[order], rep[order], copies[order], unit[order]
+        order = np.lexsort((cls, side))
+        side, cls, copies, unit = side[order], cls[order], copies[order], unit[order]
         cut = int((side == 0).sum())
         spots = (unit @ directions(dim)).astype(np.float32)
         same = cut == len(side)
@@ -192,21 +192,23 @@ def linked(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         a, b = a[use], b[use]
         good = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
         a, b = a[good], b[good]
-        links = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
-        tree = _forest(a, b, len(rep))
+        links = np.bincount(a, copies[b], len(cls)) + np.bincount(b, copies[a], len(cls))
+        tree = _forest(a, b, len(cls))
         some = np.flatnonzero(links)
         return pa.table(
             {
-                "a": pa.array([*rep[some].tolist(), *(int(rep[x]) for x, _ in tree)], pa.int64()),
-                "b": pa.array([*([None] * len(some)), *(int(rep[y]) for _, y in tree)], pa.int64()),
+                "a": pa.array([*cls[some].tolist(), *(int(cls[x]) for x, _ in tree)], pa.int64()),
+                "b": pa.array([*([None] * len(some)), *(int(cls[y]) for _, y in tree)], pa.int64()),
                 "n": pa.array([*links[some].astype(np.int64).tolist(), *([None] * len(tree))], pa.int64()),
             }
         )
 
     found = keep(dealt.groupBy("label", "dim", "xi", "yi").applyInArrow(compare, "a bigint, b bigint, n bigint"))
-    counts = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    counts = found.where("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     joined = components(found.where("b IS NOT NULL").select("a", "b"))
-    ends = classes.join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
+    roots = keep(classes.select(F.col("cls").alias("v"), "rep").join(joined.select(F.col("node").alias("v"), F.col("component").alias("u")), "v"))
+    placed = to_least(roots.select("u", "v"), roots.groupBy("u").agg(F.min("rep").alias("m"))).select(F.col("v").alias("cls"), F.col("m").alias("component"))
+    ends = classes.join(counts, "cls", "left").join(placed, "cls", "left")
     by_class = ends.select("label", "dim", "unit", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     known = rows.join(by_class, ["label", "dim", "unit"]).groupBy("vec_id", "label").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
     all_rows = vectors.select("vec_id", "label")
