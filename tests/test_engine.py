@@ -326,3 +326,38 @@ def test_unfinished_table_is_abandoned(spark, tmp_path):
     with pytest.raises(StoreError):
         db.put(b"a", b"1")
     db.close()
+
+
+def test_large_and_many_filters(spark):
+    """Filters of more keys than a batch holds, and many filters a batch, are the plain ones' bytes; probes beside groups without one match nothing."""
+    many = spark.range(40_000).select(F.when(F.col("id") < 25_000, F.col("id") % 2).otherwise(F.col("id") % 3000).alias("g"), F.encode(F.col("id").cast("string"), "UTF-8").alias("k"))
+    groups = {}
+    for g, k in [*((r.g, bytes(r.k)) for r in many.collect()), (5, None), (3001, None)]:
+        groups.setdefault(g, []).append(k)
+    built = filters.build_filters(many.unionByName(spark.createDataFrame([(5, None), (3001, None)], "g bigint, k binary")), "g")
+    plain = {g: filters.build(sorted({filters.fnv1_bytes(k or b"") for k in ks})) for g, ks in groups.items()}
+    assert {r.g: (bytes(r.filter), r.n_keys) for r in built.collect()} == {g: (plain[g], len({filters.fnv1_bytes(k or b"") for k in ks})) for g, ks in groups.items()}
+    asked = many.unionByName(spark.createDataFrame([(9000, b"1"), (None, b"1"), (0, b"absent"), (3001, None)], "g bigint, k binary"))
+    for spread in (1, 4):
+        got = filters.probe_filters(asked.withColumn("q", F.encode(F.concat(F.decode("k", "UTF-8"), F.lit("/x")), "UTF-8")), built, "g", F.col("q"), spread).collect()
+        assert len(got) == 40_004 and all(r.may_match == (r.g in plain and filters.matches(bytes(r.q or b""), plain[r.g])) for r in got)
+
+
+def test_filters_arent_sent_with_each_probe(spark):
+    """A join would send a filter with each of its probes: as large as both together."""
+    from tidelog.plans.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    for name in ("bloom_absent", "bloom_probe"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert "may_match" in plan and "Join LeftOuter" not in plan and "Join Inner, (" not in plan, plan
+
+
+def test_hashes_of_rows(spark):
+    rng = random.Random(6)
+    rows = [None, b"", b"hello", *(rng.randbytes(n) for n in (1, 2, 255, 5000)), None, b"world"]
+    want = [filters.fnv1_bytes(x or b"") for x in rows]
+    assert filters.fnv1_rows(pa.array(rows, pa.binary())).to_pylist() == want
+    assert filters.fnv1_rows(pa.array(rows, pa.large_binary())[2:5]).to_pylist() == want[2:5] and filters.fnv1_rows(pa.array([], pa.binary())).to_pylist() == []
+    df = spark.createDataFrame([(x,) for x in rows], "x binary")
+    assert [tuple(r) for r in df.select(filters.fnv1(F.col("x")), filters.fnv1_batched(F.col("x"))).collect()] == [(w, w) for w in want]

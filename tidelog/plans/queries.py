@@ -613,20 +613,21 @@ def _bloom(asked: str) -> str:
 @query(_bloom("x || '/absent'"))
 def bloom_absent(spark, d):
     """Probes of keys that no filter holds: the same ones pass by chance."""
-    part = table(spark, d, "part").select((F.col("p_partkey") % 8).alias("grp"), F.col("p_partkey"))
-    text = F.col("p_partkey").cast("string")
-    built = filters.build_filters(part.select("grp", F.encode(text, "UTF-8").alias("k")), "grp")
-    asked = F.encode(F.concat(text, F.lit("/absent")), "UTF-8")
-    return part.join(built, "grp").select("p_partkey", filters.may_match(asked, F.col("filter")).alias("may_match"))
+    return _bloom_asked(spark, d, "/absent")
 
 
 @query(_bloom("x"))
 def bloom_probe(spark, d):
-    part = table(spark, d, "part").select((F.col("p_partkey") % 8).alias("grp"), F.col("p_partkey"))
-    key = F.encode(F.col("p_partkey").cast("string"), "UTF-8")
-    built = filters.build_filters(part.select("grp", key.alias("k")), "grp")
-    asked = part.join(built, "grp").select("p_partkey", filters.may_match(key, F.col("filter")).alias("may_match"))
-    return asked
+    return _bloom_asked(spark, d, "")
+
+
+def _bloom_asked(spark: SparkSession, d: str, ending: str) -> DataFrame:
+    """Eight filters of part keys, each probed by its own keys with an ending; a filter's probes go to eight tasks."""
+    part = table(spark, d, "part").where("p_partkey IS NOT NULL").select((F.col("p_partkey") % 8).alias("grp"), "p_partkey")
+    text = F.col("p_partkey").cast("string")
+    built = filters.build_filters(part.select("grp", F.encode(text, "UTF-8").alias("k")), "grp")
+    asked = F.encode(F.concat(text, F.lit(ending)), "UTF-8")
+    return filters.probe_filters(part, built, "grp", asked, 8).select("p_partkey", "may_match")
 
 
 @query("SELECT CAST(p_partkey * 37 // 2048 AS BIGINT) AS slot, count(*) AS n, count(*) AS n_match FROM part GROUP BY 1")
