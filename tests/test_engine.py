@@ -348,7 +348,7 @@ def test_filters_arent_sent_with_each_probe(spark):
     from tidelog.plans.queries import QUERIES
 
     data = "/root/testdata/sf0.001"
-    for name in ("bloom_absent", "bloom_probe"):
+    for name in ("bloom_absent", "bloom_probe", "filter_block"):
         plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
         assert "may_match" in plan and "Join LeftOuter" not in plan and "Join Inner, (" not in plan, plan
 

@@ -205,22 +205,6 @@ def probe_filters(asked: DataFrame, filters: DataFrame, by: str, key: Column, sp
     return placed.mapInArrow(match, kind)
 
 
-def may_match(key: Column, filt: Column) -> Column:
-    """Whether a key may be in a filter; false for filters under two bytes."""
-    n = F.octet_length(filt)
-    k = F.conv(F.hex(F.substr(filt, n, F.lit(1))), 16, 10).cast("int")
-    bits = ((n - 1) * 8).cast("bigint")
-    h = fnv1(key)
-    step = F.shiftrightunsigned(h, 17).bitwiseOR(F.shiftleft(h, 15)).bitwiseAND(F.lit(U32))
-
-    def hit(i: Column) -> Column:
-        p = (h + i.cast("bigint") * step).bitwiseAND(F.lit(U32)) % bits
-        byte = F.conv(F.hex(F.substr(filt, F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
-        return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << b).cast("bigint") for b in range(8)]), (p % 8 + 1).cast("int"))) != 0
-
-    return F.when(n < 2, F.lit(False)).when(k > 30, F.lit(True)).otherwise(F.forall(F.sequence(F.lit(0), k - 1), hit))
-
-
 def filter_block(chunks: DataFrame, bits_per_key: int = 10) -> DataFrame:
     """``(block_offset, k)`` to one filter for each slot of 2 KiB of file offset that has keys."""
     slotted = chunks.select(F.floor(F.col("block_offset") / FILTER_RANGE).cast("bigint").alias("slot"), "k")
@@ -231,9 +215,9 @@ def probe_block(probes_df: DataFrame, block: DataFrame) -> DataFrame:
     """``(block_offset, k)`` probes: a slot without keys within the block matches nothing, one beyond it anything."""
     last = block.agg(F.max("slot").alias("_last"))
     at = probes_df.withColumn("slot", F.floor(F.col("block_offset") / FILTER_RANGE).cast("bigint"))
-    found = at.join(block.select("slot", "filter"), "slot", "left").crossJoin(F.broadcast(last))
-    hit = F.when(F.col("slot") > F.col("_last"), True).otherwise(F.coalesce(may_match(F.col("k"), F.col("filter")), F.lit(False)))
-    return found.withColumn("may_match", hit).drop("filter", "_last")
+    found = probe_filters(at, block, "slot", F.col("k")).crossJoin(F.broadcast(last))
+    hit = F.when(F.col("slot") > F.col("_last"), True).otherwise(F.col("may_match"))
+    return found.withColumn("may_match", hit).drop("_last")
 
 
 def encode_block(filters: dict[int, bytes]) -> bytes:
