@@ -361,3 +361,28 @@ def test_hashes_of_rows(spark):
     assert filters.fnv1_rows(pa.array(rows, pa.large_binary())[2:5]).to_pylist() == want[2:5] and filters.fnv1_rows(pa.array([], pa.binary())).to_pylist() == []
     df = spark.createDataFrame([(x,) for x in rows], "x binary")
     assert [tuple(r) for r in df.select(filters.fnv1(F.col("x")), filters.fnv1_batched(F.col("x"))).collect()] == [(w, w) for w in want]
+
+
+def test_a_task_sorts_few_rows(spark, tmp_path, monkeypatch):
+    """Tables of many rows are cut into more files than asked for, in bulk loads and compactions alike; metadata isn't from a sort of each file."""
+    monkeypatch.setattr(storage, "ROWS_PER_FILE", 100)
+    log = spark.createDataFrame([(f"{i * 7919 % 300:04d}".encode(), i, i % 5 and 1, b"v" if i % 5 else None) for i in range(1, 1000)], LOG)
+    meta = storage.write_sorted(log, f"{tmp_path}/t", 2)
+    files = sorted(meta.collect(), key=lambda r: bytes(r.smallest.k))
+    assert len(files) == 10 and max(r.n for r in files) < 300
+    line = sorted(rows(log), key=lambda r: (r[0], -r[1], -r[2]))
+    for r in files:
+        mine, line = line[: r.n], line[r.n :]
+        assert [(bytes(e.k), e.seq, e.op) for e in (r.smallest, r.largest)] == [m[:3] for m in (mine[0], mine[-1])]
+    assert not line
+    assert "= last#" in meta._jdf.queryExecution().optimizedPlan().toString()
+    db = Database(spark, str(tmp_path / "db"))
+    db.append(log, files=2)
+    assert len(db._tables().inputFiles()) == 10 and db.log().count() == 999
+    with pytest.raises(StoreError):
+        db.append(spark.range(300).select(F.lit(b"k").alias("k"), (F.col("id") % 299 + 1000).alias("seq"), F.lit(1).alias("op"), F.lit(b"v").alias("v")))
+    db.put(b"0001", b"w")
+    want = rows(db.scan())
+    db.compact(files=3)
+    assert len(db._tables().inputFiles()) == 10 and rows(db.scan()) == want and db.get(b"0001") == b"w"
+    db.close()

@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from tidelog.operators.batch import entry_bytes
 from tidelog.schema import OP_PUT, Options, version_order
 
+#: Rows that one task sorts, about: larger tables are cut into more files.
+ROWS_PER_FILE = 1 << 19
 
-def write_sorted(log: DataFrame, path: str, files: int, options: Options = Options(), distinct_keys: int | None = None) -> DataFrame:
-    """Write a log as sorted files of disjoint key ranges; returns their metadata.
+
+def pieces(rows: int, least: int = 1) -> int:
+    """Parts that so many rows are cut into."""
+    return max(least, -(-rows // ROWS_PER_FILE))
+
+
+def write_sorted(log: DataFrame, path: str, files: int, options: Options = Options(), distinct_keys: int | None = None, rows: int | None = None) -> DataFrame:
+    """Write a log as sorted files of disjoint key ranges, ``files`` or as many as ``ROWS_PER_FILE`` asks for; returns their metadata.
 
     The range shuffle is by key alone, so versions of a key share a file.
     Delta-encoded keys come with the v2 writer; a Bloom filter on the key
-    column is sized by ``distinct_keys`` where that is known.
+    column is sized by ``distinct_keys`` where that is known. ``rows`` is the
+    log's row count or a bound of it; without it the log is counted.
     """
+    files = pieces(log.count() if rows is None else rows, files)
     writer = (
         log.repartitionByRange(files, F.col("k").asc_nulls_last())
         .sortWithinPartitions(*version_order())
@@ -31,13 +41,15 @@ def write_sorted(log: DataFrame, path: str, files: int, options: Options = Optio
 
 
 def file_metadata(table: DataFrame) -> DataFrame:
-    """Smallest and largest key and entry count of each file of a table."""
-    key = F.struct("k", "seq", "op")
-    named = table.select("k", "seq", "op", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_size"))
-    newest_first = F.struct(F.col("k"), (-F.col("seq")).alias("s"), (-F.col("op")).alias("o"))
-    return named.groupBy("path", "file_size").agg(
-        F.min_by(key, newest_first).alias("smallest"), F.max_by(key, newest_first).alias("largest"), F.count(F.lit(1)).alias("n")
-    )
+    """Smallest and largest key and entry count of each file of a table as ``write_sorted`` makes it: its first and last row.
+
+    Only those rows meet in an aggregate: one of keys over all rows would sort them, a file in one task.
+    """
+    key, at = F.struct("k", "seq", "op"), F.col("_metadata.row_index").alias("at")
+    path, size = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_size")
+    ends = table.select(path, at).groupBy("path").agg(F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
+    edges = table.select("k", "seq", "op", path, size, at).join(F.broadcast(ends), "path").where("at = 0 OR at = last")
+    return edges.groupBy("path", "file_size", "n").agg(F.min_by(key, "at").alias("smallest"), F.max_by(key, "at").alias("largest")).select("path", "file_size", "smallest", "largest", "n")
 
 
 def summarize(log: DataFrame, by: str, key_len, value_len) -> DataFrame:
