@@ -386,3 +386,18 @@ def test_a_task_sorts_few_rows(spark, tmp_path, monkeypatch):
     db.compact(files=3)
     assert len(db._tables().inputFiles()) == 10 and rows(db.scan()) == want and db.get(b"0001") == b"w"
     db.close()
+
+
+def test_codecs_beyond_small_numbers(spark, tmp_path):
+    """Bytes and lengths of numbers that the SQL twins have no branch for."""
+    from tidelog.plans.queries import QUERIES
+
+    ids = [0, 1, 127, 128, 65_534, 65_535, 65_536, 2_049_125, 2_049_126, 9_000_000, 1 << 40]
+    spark.createDataFrame([(i, i % 90_000) for i in ids], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.id: r.enc for r in QUERIES["varint_encode"](spark, str(tmp_path)).collect()}
+    assert got == {i: codec.put_varint(i * 131).hex().upper() for i in ids}
+    got = {r.id: r.len for r in QUERIES["varint_len"](spark, str(tmp_path)).collect()}
+    assert got == {i: len(codec.put_varint(i * (i % 90_000))) for i in ids}
+    spark.createDataFrame([(i, 7, "view", 1.0) for i in ids], "event_id bigint, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.seq - 1: r.packed for r in QUERIES["pack_tag"](spark, str(tmp_path)).collect()}
+    assert got == {i: (b"7" + struct.pack("<Q", (i + 1) << 8 | 1)).hex().upper() for i in ids}
